@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import storage
 
@@ -17,6 +18,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", max_tokens=2048, end_id=0)
 
 
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    path = storage.scratch(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path, min_bytes=0)
+    read = read_warc(spark, path, payload="false", verify="true").where(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.regexp_extract(c, "^urn:x-page:(-?[0-9]+)$", 1).try_cast("long")
+    return read.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import read_tokens, write_tokens
 
@@ -25,7 +36,16 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
+def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_overlaps, items_digest
+
+    found = find_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc_archives": op2_warc_archives,
     "op3_rans_tokens": op3_rans_tokens,
+    "op4_suffix_automaton_decontamination": op4_suffix_automaton_decontamination,
 }
