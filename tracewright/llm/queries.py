@@ -43,9 +43,31 @@ def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import base_failed, judged, measured
+    from .storage import written
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    stats = written(measured(docs, "text", "_q").drop("text"), "measured")
+    q = F.col("_q")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged(stats).select("doc_id", *(q[c].alias(c) for c in counts), base_failed(q).alias("base_failed"), F.col("_kept").alias("kept"))
+
+
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import BASE, find_pii, listed
+
+    found = find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("_pii", lambda s: s.kind < len(BASE))
+    count = lambda k: F.size(F.filter("_pii", lambda s: s.kind == k)).cast("long")
+    return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_pii")).alias("spans"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_archives": op2_warc_archives,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_suffix_automaton_decontamination": op4_suffix_automaton_decontamination,
+    "op8_robust_outliers": op8_robust_outliers,
+    "op9_weak_supervision_pii": op9_weak_supervision_pii,
 }
