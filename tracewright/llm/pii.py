@@ -84,7 +84,7 @@ def _kind_spans(text: Column, kind: str) -> Column:
     good = {
         "email": lambda x: F.lit(True),
         "ip": lambda x: x.m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"),
-        "card": lambda x: _bound(digits(x.m), lambda d: F.length(d).between(12, 19) & F.luhn_check(d)),
+        "card": lambda x: _bound(digits(x.m), lambda d: F.length(d).between(12, 19) & F.call_function("luhn_check", d)),
         "phone": lambda x: F.length(digits(x.m)).between(9, 15),
         "secret": lambda x: x.m.rlike("[0-9]") & x.m.rlike("[A-Za-z]"),
         "number": lambda x: F.length(digits(x.m)).between(9, 19),
@@ -119,8 +119,12 @@ def candidates(text: Column) -> Column:
     """All candidates of a text: array of kind number, start, end, votes; in order of start and kind."""
     t = F.coalesce(text, F.lit(""))
 
+    def of_kind(t: Column, k: int, kind: str) -> Column:
+        voted = lambda x: F.struct(x.start.alias("start"), F.lit(k).alias("kind"), x.end.alias("end"), _votes(t, kind, x).alias("votes"))
+        return F.transform(_kind_spans(t, kind), voted)
+
     def made(t: Column) -> Column:
-        lists = [F.transform(_kind_spans(t, kind), lambda x, kind=kind, k=k: F.struct(x.start.alias("start"), F.lit(k).alias("kind"), x.end.alias("end"), _votes(t, kind, x).alias("votes"))) for k, kind in enumerate(KINDS)]
+        lists = [of_kind(t, k, kind) for k, kind in enumerate(KINDS)]
         return _bound(F.concat(*lists[:4]), lambda base: F.array_sort(F.concat(base, F.filter(F.concat(*lists[4:]), lambda c: ~F.exists(base, lambda b: (b.start < c.end) & (c.start < b.end))))))
 
     return F.when(t.rlike(r"[0-9@]"), _bound(t, made)).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,votes:array<int>>>"))
