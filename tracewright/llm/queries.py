@@ -63,6 +63,12 @@ def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(BASE)), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("_pii")).alias("spans"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc_archives": op2_warc_archives,
@@ -70,4 +76,5 @@ QUERIES = {
     "op4_suffix_automaton_decontamination": op4_suffix_automaton_decontamination,
     "op8_robust_outliers": op8_robust_outliers,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
+    "op10_repeated_passages": op10_repeated_passages,
 }

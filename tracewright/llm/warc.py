@@ -98,7 +98,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.decode = options.get("payload", "true").lower() == "true"
         self.verify = options.get("verify", "false").lower() == "true"
-        self.target = int(options.get("partitionbytes", 128 << 20))
+        self.target = int(options.get("partitionbytes", 32 << 20))
         self.wanted: dict[str, set[str] | None] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
