@@ -43,6 +43,12 @@ def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked_components
+
+    return linked_components(_table(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op8_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import base_failed, judged, measured
     from .storage import written
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_warc_archives": op2_warc_archives,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_suffix_automaton_decontamination": op4_suffix_automaton_decontamination,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_robust_outliers": op8_robust_outliers,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_repeated_passages": op10_repeated_passages,
