@@ -23,6 +23,7 @@ from . import storage
 from .words import Block, blocks
 
 Decide = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Summarise = Callable[[np.ndarray, np.ndarray, np.ndarray], object]
 
 
 def total_capped(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -40,14 +41,15 @@ def beaten(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Answers:
     """The bytes for the keys of the blocks of one input partition."""
 
-    def __init__(self, place: str, part: int):
+    def __init__(self, place: str, part: int, kind: type = np.uint8):
+        self.kind = kind
         try:
             self.by_block: dict[int, bytes] = pickle.loads(storage.read_file(f"{place}/{part:06d}.bin"))
         except FileNotFoundError:
             self.by_block = {}
 
     def of(self, block: int, n_keys: int) -> np.ndarray:
-        found = np.frombuffer(zlib.decompress(self.by_block[block]), np.uint8) if n_keys else np.zeros(0, np.uint8)
+        found = np.frombuffer(zlib.decompress(self.by_block[block]), self.kind) if n_keys else np.zeros(0, self.kind)
         if len(found) != n_keys:
             raise RuntimeError("the input's partitions changed between two passes over it")
         return found
@@ -60,12 +62,13 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Bloc
         yield part, number, block
 
 
-def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndarray, np.ndarray]], decide: Decide, name: str, wide: bool = False) -> str:
+def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndarray, np.ndarray]], decide: Decide, name: str, wide: bool = False, answer: type = np.uint8, summarise: Summarise | None = None) -> str:
     """Runs the exchange over a frame of doc_id and text; returns the place of the answers.
 
     keys_of gives sorted distinct keys and their values (unsigned bytes, or 64-bit integers if wide).
     wide: whole keys are compared; else the bucket and 32 bits more, where equal keys always meet and
-    different ones seldom do.
+    different ones seldom do. summarise: gives an object of bounded size from each bucket's values,
+    starts of keys and keys (whole ones if wide); ``summaries`` reads them.
     """
     spark = docs.sparkSession
     place = storage.scratch(spark, name)
@@ -90,13 +93,20 @@ def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndar
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        answers = np.empty(len(keys), np.uint8)
-        answers[order] = decide(values[order].astype(np.int64), starts)
+        values = values[order].astype(np.int64)
+        answers = np.empty(len(keys), answer)
+        answers[order] = decide(values, starts)
         sizes = [len(k) // (8 if wide else 4) for k in group["keys"]]
         cut = np.split(answers, np.cumsum(sizes)[:-1])
-        return pd.DataFrame({"part": group["part"], "block": group["block"], "bucket": group["bucket"], "answers": [zlib.compress(c.tobytes(), 1) for c in cut]})
+        out = pd.DataFrame({"part": group["part"], "block": group["block"], "bucket": group["bucket"], "answers": [zlib.compress(c.tobytes(), 1) for c in cut]})
+        if summarise:
+            out.loc[len(out)] = [-1, 0, group["bucket"].iloc[0], zlib.compress(pickle.dumps(summarise(values, starts, keys[starts])), 1)]
+        return out
 
     def store(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            storage.write_file(f"{place}/summaries.bin", pickle.dumps([pickle.loads(zlib.decompress(x)) for x in group["answers"]]))
+            return pd.DataFrame({"part": [key[0]]})
         by_block: dict[int, list[bytes]] = {}
         for block, _, data in sorted(zip(group["block"], group["bucket"], group["answers"])):
             by_block.setdefault(int(block), []).append(zlib.decompress(data))
@@ -108,3 +118,11 @@ def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndar
     met = sent.groupBy("bucket").applyInPandas(meet, "part int, block int, bucket int, answers binary")
     met.groupBy("part").applyInPandas(store, "part int").write.format("noop").mode("overwrite").save()
     return place
+
+
+def summaries(place: str) -> list:
+    """What ``summarise`` gave, an object for each bucket."""
+    try:
+        return pickle.loads(storage.read_file(f"{place}/summaries.bin"))
+    except FileNotFoundError:
+        return []

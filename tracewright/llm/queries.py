@@ -43,6 +43,18 @@ def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> Da
     return found.select("doc_id", "n_words", "n_hit", "n_items", items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_hashed_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import in_four_fifths, score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), in_four_fifths)
+
+
+def op6_rare_token_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import linked_components
 
@@ -80,6 +92,8 @@ QUERIES = {
     "op2_warc_archives": op2_warc_archives,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_suffix_automaton_decontamination": op4_suffix_automaton_decontamination,
+    "op5_hashed_maxent_scores": op5_hashed_maxent_scores,
+    "op6_rare_token_licences": op6_rare_token_licences,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_robust_outliers": op8_robust_outliers,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
