@@ -28,7 +28,7 @@ def _trees(cfg: ModelConfig, rounds: int) -> GBTClassifier:
 def fit(train: DataFrame, val: DataFrame, cfg: ModelConfig):
     """(model, best round): rounds stop where validation loss hasn't fallen for ``patience`` rounds."""
     model = _trees(cfg, cfg.rounds).fit(train)
-    losses = model.evaluateEachIteration(val, "logistic")
+    losses = model.evaluateEachIteration(val)
     best, since = 0, 0
     for i, loss in enumerate(losses):
         if loss < losses[best]:
