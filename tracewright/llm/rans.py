@@ -39,6 +39,8 @@ _32 = np.uint64(32)
 def quantised(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """Frequencies that sum to 2**bits, at least 1 for each id that occurs."""
     there = np.flatnonzero(counts)
+    if not len(there):
+        return np.zeros(len(counts), np.int64), 16
     bits = max(16, int(len(there) - 1).bit_length() + 2)
     size = 1 << bits
     out = np.zeros(len(counts), np.int64)
@@ -111,7 +113,7 @@ class Table:
 def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A whole shard file. Layout: magic, header length, header (JSON), doc ids, lengths, table, block index, words."""
     table = Table(*quantised(np.bincount(ids, minlength=1).astype(np.int64)))
-    size = max(1, -(-len(ids) // BLOCK_IDS))
+    size = -(-len(ids) // BLOCK_IDS)
     padded = np.zeros(size * BLOCK_IDS, np.uint32)
     padded[: len(ids)] = ids
     if len(ids) < len(padded) and len(ids):

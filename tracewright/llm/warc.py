@@ -74,7 +74,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "p
         for batch in batches:
             for key, uri, text, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 packed = zlib.compressobj(level, zlib.DEFLATED, 31)
-                record = _record(f"urn:x-page:{key}", uri or "", date, text.encode(), None if refers is None else f"urn:x-page:{refers}")
+                record = _record(f"urn:x-page:{'null' if key is None else key}", uri or "", date, text.encode(), None if refers is None else f"urn:x-page:{refers}")
                 held.append(packed.compress(record) + packed.flush())
                 size += len(held[-1])
                 if size >= FILE_BYTES:
