@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import storage
-from .words import Block, blocks
+from .words import BLOCK, Block, blocks, trim
 
 Decide = Callable[[np.ndarray, np.ndarray], np.ndarray]
 Summarise = Callable[[np.ndarray, np.ndarray, np.ndarray], object]
@@ -55,14 +55,15 @@ class Answers:
         return found
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Block]]:
+def numbered(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK) -> Iterator[tuple[int, int, Block]]:
     """(partition, number, block) of the blocks of columns doc_id and text."""
     part = TaskContext.get().partitionId()
-    for number, block in enumerate(blocks(batches, "doc_id", "text")):
+    for number, block in enumerate(blocks(batches, "doc_id", "text", block_bytes)):
         yield part, number, block
+    trim()
 
 
-def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndarray, np.ndarray]], decide: Decide, name: str, wide: bool = False, answer: type = np.uint8, summarise: Summarise | None = None) -> str:
+def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndarray, np.ndarray]], decide: Decide, name: str, wide: bool = False, answer: type = np.uint8, summarise: Summarise | None = None, block_bytes: int = BLOCK) -> str:
     """Runs the exchange over a frame of doc_id and text; returns the place of the answers.
 
     keys_of gives sorted distinct keys and their values (unsigned bytes, or 64-bit integers if wide).
@@ -77,7 +78,7 @@ def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndar
     value_type = np.int64 if wide else np.uint8
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, number, block in numbered(batches):
+        for part, number, block in numbered(batches, block_bytes):
             keys, values = keys_of(part, number, block)
             if not len(keys):
                 continue
@@ -112,6 +113,7 @@ def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndar
             by_block.setdefault(int(block), []).append(zlib.decompress(data))
         held = {b: zlib.compress(b"".join(parts), 1) for b, parts in by_block.items()}
         storage.write_file(f"{place}/{key[0]:06d}.bin", pickle.dumps(held))
+        trim()
         return pd.DataFrame({"part": [key[0]]})
 
     sent = docs.mapInArrow(send, "bucket int, part int, block int, keys binary, vals binary")

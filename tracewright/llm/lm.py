@@ -38,6 +38,8 @@ CLASSES = HOT + 1 + ENDINGS
 _SIZES = [1, CLASSES, CLASSES, CLASSES, 4096, 2048]
 _AT = np.cumsum([0, *_SIZES])
 ROWS = int(_AT[-1])
+#: Bytes of text in a block; in larger blocks more histories are the same.
+BLOCK_BYTES = 8 << 20
 #: Histories in one batch of gradient or scoring.
 BATCH = 8192
 _END = np.uint64(0xA5A5F00D5EED0001)
@@ -168,7 +170,7 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: s
         counts = np.bincount(number_of, np.repeat(in_training(block), np.diff(t.bounds)), len(keys)).astype(np.int64)
         return keys, counts * 256 + t.endings[first]
 
-    counted = exchange(given, token_keys, _counted, "token-counts", wide=True, answer=np.int64, summarise=_vocabulary)
+    counted = exchange(given, token_keys, _counted, "token-counts", wide=True, answer=np.int64, summarise=_vocabulary, block_bytes=BLOCK_BYTES)
     tokens, types, top = np.zeros(128), np.zeros(128), []
     for n, v, keys, counts, classes in summaries(counted):
         tokens, types = tokens + n, types + v
@@ -190,7 +192,7 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: s
 
     def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
         trainer = None
-        for _, _, block in numbered(batches):
+        for _, _, block in numbered(batches, BLOCK_BYTES):
             used = in_training(block)
             if not used.any():
                 continue
@@ -225,7 +227,7 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: s
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, shared = None, pickle.loads(final.value)
-        for part, number, block in numbered(batches):
+        for part, number, block in numbered(batches, BLOCK_BYTES):
             answers = answers or Answers(counted, part, np.int64)
             t = Tokens(block)
             keys, number_of = np.unique(t.hashes, return_inverse=True)

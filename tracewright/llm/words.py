@@ -13,15 +13,25 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; longer texts are cut at separators, longer words extend a piece.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Bytes of text in a block; one longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xD6E8FEB86659FD93 | 1
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that idle workers hold little."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n or more."""
     have = _powers.get(base)
