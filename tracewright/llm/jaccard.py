@@ -29,6 +29,9 @@ from .exchange import Answers, exchange, numbered, total_capped
 from .storage import as_scan, written
 from .words import LOWERED, Block, mixed, window_hashes
 
+#: How far apart in a column, by size, rows are checked before components are known.
+NEIGHBOURS = (1, 2, 3)
+
 
 def ngram_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-gram hashes of each text, one after another, and their bounds."""
@@ -126,7 +129,9 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
         return joined.mapInArrow(overlaps, "a long, b long")
 
     along = Window.partitionBy("gram").orderBy("n", "doc_id")
-    neighbours = entries.select(F.lag("doc_id").over(along).alias("a"), F.lag("n").over(along).alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    near = [F.struct(F.lag("doc_id", k).over(along).alias("a"), F.lag("n", k).over(along).alias("na")) for k in NEIGHBOURS]
+    neighbours = entries.select(F.array(*near).alias("near"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    neighbours = neighbours.select(F.explode("near").alias("x"), "b", "nb").select("x.a", "x.na", "b", "nb")
     neighbours = neighbours.where(fits("na", "nb") & F.expr("a != b")).select("a", "b").distinct()
     first_links = written(checked(neighbours), "links")
     grouped = written(components(first_links), "components")
