@@ -114,7 +114,7 @@ def as_scan(df: DataFrame, name: str) -> DataFrame:
     A plain scan of files is one already; anything else is written to the shared folder first.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    plain = plan.count("FileScan parquet") == 1 and not any(x in plan for x in ("Exchange", "Join", "Union", "Python", "Arrow", "Sample", "InMemory"))
+    plain = plan.count("FileScan parquet") == 1 and not any(x in plan for x in ("Exchange", "Join", "Union", "Python", "Arrow", "Sample", "InMemoryTableScan"))
     return df if plain else written(df, name)
 
 
