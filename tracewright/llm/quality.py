@@ -28,6 +28,8 @@ FLOOR = 0.12
 #: Quantiles of the chi-square distribution with 4 degrees of freedom: 0.5, 0.975, and 1 - 1e-7 for rejection.
 CHI2_MEDIAN, CHI2_REWEIGHT, CHI2_REJECT = 3.357, 11.143, 38.0
 CONCENTRATION_STEPS = 3
+#: Groups up to which their estimates are broadcast; more are joined by key.
+BROADCAST_GROUPS = 50_000
 
 
 def _bound(value: Column, use) -> Column:
@@ -134,6 +136,11 @@ def _distance(values: list[Column], model: str = "") -> Column:
     return total
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A written table with a row per group, to be broadcast where its rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+
+
 def estimates(stats: DataFrame, q: str, lang_col: str, source_col: str) -> DataFrame:
     """Robust estimates per key of a table of statistics; ``scale`` makes distances chi-square."""
     keys = F.array(*_levels(F.col(lang_col), F.col(source_col)))
@@ -144,30 +151,30 @@ def estimates(stats: DataFrame, q: str, lang_col: str, source_col: str) -> DataF
     for i, x in enumerate(xs):
         q3 = F.col(f"q{i}")
         near = near + F.pow((x - q3[1]) / F.greatest((q3[2] - q3[0]) / 1.349, F.lit(FLOOR)), F.lit(2))
-    distant = points.join(written(quartiles, "quartiles"), "key").select("key", *xs, near.alias("d"))
+    distant = points.join(_small(written(quartiles, "quartiles")), "key").select("key", *xs, near.alias("d"))
     model = None
     for step in range(CONCENTRATION_STEPS):
         if model is not None:
-            distant = points.join(model, "key").select("key", *xs, _distance(xs).alias("d"))
+            distant = points.join(_small(model), "key").select("key", *xs, _distance(xs).alias("d"))
         half = written(distant.groupBy("key").agg(F.percentile_approx("d", 0.5, 2000).alias("h")), "halves")
-        model = _estimate(distant.join(half, "key").where("d <= h"), f"estimates-{step}")
-    distant = points.join(model, "key").select("key", *xs, _distance(xs).alias("d"))
+        model = _estimate(distant.join(_small(half), "key").where("d <= h"), f"estimates-{step}")
+    distant = points.join(_small(model), "key").select("key", *xs, _distance(xs).alias("d"))
     scale = written(distant.groupBy("key").agg(F.greatest(F.percentile_approx("d", 0.5, 2000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "scales")
-    inner = distant.join(scale, "key").where(F.col("d") <= F.col("scale") * CHI2_REWEIGHT)
+    inner = distant.join(_small(scale), "key").where(F.col("d") <= F.col("scale") * CHI2_REWEIGHT)
     final = _estimate(inner, "estimates")
     count = points.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    return written(final.join(count, "key"), "models")
+    return final.join(count, "key")
 
 
 def judged(stats: DataFrame, q: str = "_q", lang_col: str = "lang", source_col: str = "source", min_group: int = 60, cutoff: float = CHI2_REJECT) -> DataFrame:
     """A table that holds statistics, with the columns ``_distance`` (null without an estimate) and ``_kept``."""
-    models = estimates(stats, q, lang_col, source_col).where(F.col("members") >= min_group)
+    models = written(estimates(stats, q, lang_col, source_col).where(F.col("members") >= min_group), "models")
     out = stats
     distances = []
     for level, key in enumerate(_levels(F.col(lang_col), F.col(source_col))):
         prefix = f"_m{level}_"
         renamed = models.select(*(F.col(c).alias(prefix + c) for c in models.columns))
-        out = out.join(renamed, key == F.col(f"{prefix}key"), "left")
+        out = out.join(_small(renamed), key == F.col(f"{prefix}key"), "left")
         distances.append(_distance(_vector(F.col(q)), prefix))
     out = out.withColumn("_distance", F.coalesce(*distances))
     kept = ~base_failed(F.col(q)) & (F.coalesce(F.col("_distance"), F.lit(0.0)) <= cutoff)
