@@ -378,6 +378,20 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert [i for i, kept in got.items() if not kept and i % 10] == [] and not any(got[i] for i in range(0, 400, 10))
 
 
+def test_table_junk_is_rejected(spark):
+    """Texts with about one symbol to two words, few and many of them, beside clean ones."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
+    data = []
+    for i in range(400):
+        words = [word() for _ in range(int(rng.integers(60, 200)))]
+        source, every = ("few", 40) if i < 200 else ("many", 5)
+        data.append((i, " | ".join(" ".join(words[k : k + 2]) for k in range(0, len(words), 2)) if i % every == 0 else " ".join(words), "en", source))
+    junk = {i for i, t, *_ in data if "|" in t}
+    got = {r.doc_id: r._kept for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in got.items() if not kept} == junk
+
+
 # 9: personal data
 
 FINDERS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -23,10 +23,10 @@ from .storage import written
 
 SPACE = r"[\x20\x09-\x0D]+"
 DIMENSIONS = 4
-#: Least standard deviation of each transformed statistic; keeps constant ones from rejecting on trifles.
-FLOOR = 0.12
-#: Quantiles of the chi-square distribution with 4 degrees of freedom: 0.5, 0.975, and 1 - 1e-7 for rejection.
-CHI2_MEDIAN, CHI2_REWEIGHT, CHI2_REJECT = 3.357, 11.143, 38.0
+#: Standard deviation added to each transformed statistic; keeps the matrix regular where a statistic is constant.
+FLOOR = 0.05
+#: Quantiles of the chi-square distribution with 4 degrees of freedom: 0.5, 0.975, and 0.999 for rejection.
+CHI2_MEDIAN, CHI2_REWEIGHT, CHI2_REJECT = 3.357, 11.143, 18.467
 CONCENTRATION_STEPS = 3
 #: Groups up to which their estimates are broadcast; more are joined by key.
 BROADCAST_GROUPS = 50_000
