@@ -299,6 +299,19 @@ def test_licences(spark, docs, odd, empty):
     assert labels == {1: "mit", 2: "", 3: "cc-by,cc-by-nc", 4: "lgpl"}
 
 
+def test_licences_of_texts_with_many_licence_words(spark):
+    """All templates in one text, with other licence words between, and each with only its key phrase cut short."""
+    noise = "free source copy terms software person charge domain binary forms permitted modification "
+    every = noise.join(text + ". " for _, text, _ in licenses.TEMPLATES)
+    mit, apache, bsd = (licenses.TEMPLATES[k][1] for k in (6, 4, 7))
+    short = noise.join(text.replace(key, " ".join(key.split()[:-1])) + " x " for _, text, key in licenses.TEMPLATES)
+    data = [(1, every), (2, f"{mit}. {apache}"), (3, f"{mit} {noise} {bsd}"), (4, short), (5, noise * 50)]
+    got = {r.doc_id: (set(r.labels.split(",")) - set(r.base_labels.split(",")), r.score) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1][0] == {label for label, *_ in licenses.TEMPLATES} - {"mit", "cc-by"} and abs(got[1][1] - 1) < 1e-9
+    assert got[2][0] == {"mit", "apache-2.0"} and got[3][0] == {"mit", "bsd"}
+    assert got[4] == (set(), 0.0) and got[5] == (set(), 0.0)
+
+
 # 7: near duplicates
 
 

@@ -1,10 +1,12 @@
 """Licence scan with a positional index of rare licence words.
 
 Texts become words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. The index holds
-the places of each licence word in the licence templates. A text's licence words with the highest
-inverse document frequency (counted over all texts) are looked up; postings that agree on the
-relative position of text and template are intersected, and the match counts where the template's key
-phrase stands there complete and enough of its weight agrees. Base phrases are verified word by word.
+the places of each licence word in the licence templates. A template is proposed for a text that has
+the word of its key phrase with the highest inverse document frequency (counted over all texts). All
+licence words of the text are then looked up in the proposed templates; postings that agree on the
+relative position of text and template are intersected, and the match counts where the telling words of
+the template's key phrase stand there complete and enough of its weight agrees. Base phrases are
+verified word by word.
 
 Only DataFrame expressions; the index and the word weights are bounded by the templates. Null and
 empty texts have no words and no labels. Repeated rows are judged each for itself. An empty table
@@ -45,8 +47,6 @@ TEMPLATES = [
 # Template words that tell nothing.
 STOP = ["a", "an", "and", "any", "are", "by", "for", "in", "into", "is", "of", "or", "the", "this", "to", "under", "use", "with", "without"]
 
-#: Distinct licence words of a text that are looked up, by falling weight.
-RAREST = 12
 #: Share of a template's weight that must agree.
 ENOUGH = 0.5
 
@@ -110,11 +110,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     index = spark.createDataFrame([(w, k, i, key, idf(w)) for w, k, i, key in postings], "w string, template int, at int, is_key int, weight double")
     totals = spark.createDataFrame([(k, TEMPLATES[k][0], whole[k], keys[k]) for k in whole], "template int, label string, whole double, keys int")
 
-    weight_of = F.create_map(*(x for w in sorted({w for w, *_ in postings}) for x in (F.lit(w), F.lit(idf(w)))))
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("words", lambda x: x.w)), lambda w: F.struct((-F.coalesce(weight_of[w], F.lit(0.0))).alias("o"), w.alias("w"))))
-    rare = F.transform(F.slice(ranked, 1, RAREST), lambda x: x.w)
-    looked = told.select("row", "words", rare.alias("rare")).select("row", F.explode(F.filter("words", lambda x: F.array_contains("rare", x.w))).alias("x"))
-    agreed = looked.select("row", "x.w", "x.p").join(F.broadcast(index), "w").groupBy("row", "template", (F.col("p") - F.col("at")).alias("place")).agg(F.sum("weight").alias("weight"), F.sum("is_key").alias("key_words"))
+    leads = {k: max((w for w, j, _, key in postings if j == k and key), key=idf) for k in whole}
+    distinct = F.array_distinct(F.transform("words", lambda x: x.w))
+    proposed = F.array_compact(F.array(*(F.when(F.array_contains(distinct, w), F.lit(k)) for k, w in leads.items())))
+    looked = told.select("row", "words", proposed.alias("proposed")).where(F.size("proposed") > 0).select("row", "proposed", F.explode("words").alias("x"))
+    agreed = looked.select("row", "proposed", "x.w", "x.p").join(F.broadcast(index), "w").where(F.array_contains("proposed", F.col("template"))).groupBy("row", "template", (F.col("p") - F.col("at")).alias("place")).agg(F.sum("weight").alias("weight"), F.sum("is_key").alias("key_words"))
     matches = agreed.join(F.broadcast(totals), "template").where((F.col("key_words") == F.col("keys")) & (F.col("weight") >= ENOUGH * F.col("whole")))
     found = matches.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.least(F.col("weight") / F.col("whole"), F.lit(1.0))).alias("best"))
 
