@@ -72,16 +72,20 @@ def score_rows(rows: DataFrame, side: str, cfg: ModelConfig) -> DataFrame:
     return out.withColumn("split", F.lit(side)).withColumn("best_round", F.lit(best))
 
 
+def score_folds(folds: DataFrame, cfg: ModelConfig, label: str | None = None) -> DataFrame:
+    """Each fold of a table of folds; a label prefixes the experiment's name."""
+    out = None
+    for experiment, held in sorted({(r.experiment, r.held_out) for r in folds.select("experiment", "held_out").distinct().collect()}):  # a row per fold
+        part = score_fold(folds.where((F.col("experiment") == experiment) & (F.col("held_out") == held)), cfg)
+        part = part.select(F.lit(f"{label} {experiment}" if label else experiment).alias("experiment"), F.lit(held).alias("held_out"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def run(live: DataFrame, columns: list[str], cfg: ModelConfig, label: str | None = None) -> DataFrame:
     """All in-domain and leave-one-out folds; a label prefixes the experiment's name."""
     rows = assembled(live, columns, cfg)
-    out = None
-    for folds in (in_domain(rows), leave_one_out(rows)):
-        for experiment, held in sorted({(r.experiment, r.held_out) for r in folds.select("experiment", "held_out").distinct().collect()}):  # a row per fold
-            part = score_fold(folds.where((F.col("experiment") == experiment) & (F.col("held_out") == held)), cfg)
-            part = part.select(F.lit(f"{label} {experiment}" if label else experiment).alias("experiment"), F.lit(held).alias("held_out"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    return score_folds(in_domain(rows), cfg, label).unionByName(score_folds(leave_one_out(rows), cfg, label))
 
 
 def run_prefix(store: DataFrame, assignment_live, columns: list[str], cfg: ModelConfig, calls: int, drop: tuple[str, ...] = (), label: str | None = None) -> DataFrame:

@@ -503,24 +503,22 @@ def table_report(spark, d):
 
 # models
 
-_MODEL = ModelConfig(rounds=4, depth=3, patience=2)
+_MODEL = ModelConfig()
 
 
 @query()
 def gbt_in_arch(spark, d):
-    fold = folds.in_domain(model.assembled(_live(spark, d), COUNTS, _MODEL)).where("held_out = 'F'")
-    return model.score_fold(fold, _MODEL)
+    return model.score_folds(folds.in_domain(model.assembled(_live(spark, d), COUNTS, _MODEL)), _MODEL)
 
 
 @query()
 def gbt_leave_one_out(spark, d):
-    fold = folds.leave_one_out(model.assembled(_live(spark, d), COUNTS, _MODEL)).where("held_out = 'P'")
-    return model.score_fold(fold, _MODEL)
+    return model.score_folds(folds.leave_one_out(model.assembled(_live(spark, d), COUNTS, _MODEL)), _MODEL)
 
 
 @query()
 def arch_sanity(spark, d):
-    return model.domain_sanity(_live(spark, d), COUNTS, ModelConfig(rounds=2, depth=3))
+    return model.domain_sanity(_live(spark, d), COUNTS, _MODEL)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
