@@ -12,6 +12,7 @@ import pytest
 from helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -358,6 +359,103 @@ def test_near_duplicate_chains(spark):
     assert rows(jaccard.linked_components(df)) == sorted(groups(data), key=repr)
 
 
+def test_near_duplicate_families(spark):
+    """Near copies of one text with few and many edits, a family of copies of one of these, and strangers that share a passage with all."""
+    rng = np.random.default_rng(11)
+
+    def edited(words, n, mark):
+        words = list(words)
+        for k, at in enumerate(rng.choice(len(words), n, replace=False)):
+            words[at] = f"{mark}e{k}"
+        return words
+
+    base = [f"b{i}" for i in range(150)]
+    texts = [edited(base, int(rng.integers(0, 9)), f"a{k}") for k in range(120)]
+    far = edited(base, 14, "far")
+    texts += [edited(far, int(rng.integers(0, 6)), f"f{k}") for k in range(60)]
+    texts += [base[20:60] + [f"s{k}w{i}" for i in range(k)] for k in range(30)]
+    data = [(1000 - i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    want = sorted(groups(data), key=repr)
+    assert rows(jaccard.linked_components(df)) == want
+
+
+def test_blocks_of_the_product(monkeypatch, spark):
+    """Blocks of few rows, dense and sparse columns, and sides, against all pairs; then columns dealt over several blocks."""
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        n, width = int(rng.integers(2, 40)), int(rng.integers(5, 60))
+        sets = [np.flatnonzero(rng.random(width) < rng.choice([0.05, 0.8, 0.95])).astype(np.uint64) for _ in range(n)]
+        sets = [s if len(s) else np.array([99], np.uint64) for s in sets]
+        side = (rng.random(n) < 0.5).astype(np.int8) if trial % 2 else None
+        sizes = np.array([len(s) for s in sets])
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        links = set()
+        for a in range(n):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 175 * both >= 75 * (sizes[a] + sizes[b]) and (side is None or side[a] != side[b]):
+                    links.add((a, b))
+                    parent[root(a)] = root(b)
+        want = [root(x) for x in range(n)]
+        found = jaccard.block_forest(sets, sizes, 75, side)
+        assert all((max(p), min(p)) in links for p in found) and len(found) == n - len(set(want))
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(jaccard, "CENTRES", 1)
+    test_near_duplicate_families(spark)
+
+
+def test_changed_splits_between_passes(spark, tmp_path):
+    """Settings that cut files otherwise, changed after the frame was made, move no row."""
+    from tracewright.llm.storage import as_scan
+
+    spark.range(4000).selectExpr("id AS doc_id", "concat('w', id % 70, ' x', id % 90, ' ', repeat(concat('y', id % 3000, ' '), 6)) AS text").repartition(3).write.parquet(str(tmp_path / "d"), mode="overwrite")
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert len(docs.inputFiles()) == 3
+    scan = as_scan(docs, "documents", F.col("doc_id"), F.col("text"))
+    parts = lambda: {r[0]: r[1] for r in scan.select(F.min("doc_id").over(Window.partitionBy(F.spark_partition_id())), F.spark_partition_id()).distinct().collect()}
+    before = parts()
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 20))
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        assert docs.rdd.getNumPartitions() == 1 and parts() == before
+    finally:
+        for key in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+
+
+def test_other_rows_in_a_later_pass_are_noticed(spark, docs):
+    from tracewright.llm import exchange
+    from tracewright.llm.words import Block
+
+    place = storage.scratch(spark, "answers")
+    block = Block(np.array([1, 2]), np.array([True, True]), np.frombuffer(b"ab", np.uint8), np.array([0, 1, 2]))
+    storage.write_file(f"{place}/000000.bin", exchange.pickle.dumps({0: (block.sign(), zlib.compress(bytes([1, 2])))}))
+    answers = exchange.Answers(place, 0)
+    assert answers.of(0, block, 2).tolist() == [1, 2]
+    other = Block(np.array([1, 3]), block.known, block.raw, block.offsets)
+    for number, b, n in ((0, other, 2), (0, block, 3), (1, block, 2)):
+        with pytest.raises(RuntimeError):
+            answers.of(number, b, n)
+
+
+def test_missing_ids(spark):
+    """Rows without an id stay rows without an id, and are linked with nothing."""
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(None, text), (-1, text), (0, text), (None, None)], "doc_id long, text string")
+    assert rows(jaccard.linked_components(df)) == sorted([(None, 76, None), (-1, 76, -1), (0, 76, -1), (None, 0, None)], key=repr)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect()), key=repr)
+    assert got == sorted([(None, 80, 0), (-1, 80, 0), (0, 80, 80), (None, 0, 0)], key=repr)
+    assert sorted((r.doc_id for r in lm.score_texts(df, lm.in_four_fifths).collect()), key=repr) == [-1, 0, None, None]
+
+
 # 8: quality
 
 

@@ -44,14 +44,15 @@ class Answers:
     def __init__(self, place: str, part: int, kind: type = np.uint8):
         self.kind = kind
         try:
-            self.by_block: dict[int, bytes] = pickle.loads(storage.read_file(f"{place}/{part:06d}.bin"))
-        except FileNotFoundError:
+            self.by_block: dict[int, tuple[int, bytes]] = pickle.loads(storage.read_file(f"{place}/{part:06d}.bin"))
+        except FileNotFoundError:  # a partition without keys
             self.by_block = {}
 
-    def of(self, block: int, n_keys: int) -> np.ndarray:
-        found = np.frombuffer(zlib.decompress(self.by_block[block]), self.kind) if n_keys else np.zeros(0, self.kind)
-        if len(found) != n_keys:
-            raise RuntimeError("the input's partitions changed between two passes over it")
+    def of(self, number: int, block: Block, n_keys: int) -> np.ndarray:
+        sign, data = self.by_block.get(number, (None, b""))
+        found = np.frombuffer(zlib.decompress(data), self.kind) if data and n_keys else np.zeros(0, self.kind)
+        if len(found) != n_keys or n_keys and sign != block.sign():
+            raise RuntimeError("the input changed between two passes over it")
         return found
 
 
@@ -85,8 +86,9 @@ def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndar
             cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
             payload = keys if wide else ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             values = values.astype(value_type)
-            rows = [(b, part, number, payload[x:y].tobytes(), values[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "part", "block", "keys", "vals"])
+            sign = block.sign()
+            rows = [(b, part, number, sign, payload[x:y].tobytes(), values[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "part", "block", "sign", "keys", "vals"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([np.frombuffer(k, np.uint64 if wide else np.uint32) for k in group["keys"]])
@@ -99,25 +101,25 @@ def exchange(docs: DataFrame, keys_of: Callable[[int, int, Block], tuple[np.ndar
         answers[order] = decide(values, starts)
         sizes = [len(k) // (8 if wide else 4) for k in group["keys"]]
         cut = np.split(answers, np.cumsum(sizes)[:-1])
-        out = pd.DataFrame({"part": group["part"], "block": group["block"], "bucket": group["bucket"], "answers": [zlib.compress(c.tobytes(), 1) for c in cut]})
+        out = pd.DataFrame({"part": group["part"], "block": group["block"], "sign": group["sign"], "bucket": group["bucket"], "answers": [zlib.compress(c.tobytes(), 1) for c in cut]})
         if summarise:
-            out.loc[len(out)] = [-1, 0, group["bucket"].iloc[0], zlib.compress(pickle.dumps(summarise(values, starts, keys[starts])), 1)]
+            out.loc[len(out)] = [-1, 0, 0, group["bucket"].iloc[0], zlib.compress(pickle.dumps(summarise(values, starts, keys[starts])), 1)]
         return out
 
     def store(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             storage.write_file(f"{place}/summaries.bin", pickle.dumps([pickle.loads(zlib.decompress(x)) for x in group["answers"]]))
             return pd.DataFrame({"part": [key[0]]})
-        by_block: dict[int, list[bytes]] = {}
-        for block, _, data in sorted(zip(group["block"], group["bucket"], group["answers"])):
-            by_block.setdefault(int(block), []).append(zlib.decompress(data))
-        held = {b: zlib.compress(b"".join(parts), 1) for b, parts in by_block.items()}
+        by_block: dict[tuple[int, int], list[bytes]] = {}
+        for block, sign, _, data in sorted(zip(group["block"], group["sign"], group["bucket"], group["answers"])):
+            by_block.setdefault((int(block), int(sign)), []).append(zlib.decompress(data))
+        held = {block: (sign, zlib.compress(b"".join(parts), 1)) for (block, sign), parts in by_block.items()}
         storage.write_file(f"{place}/{key[0]:06d}.bin", pickle.dumps(held))
         trim()
         return pd.DataFrame({"part": [key[0]]})
 
-    sent = docs.mapInArrow(send, "bucket int, part int, block int, keys binary, vals binary")
-    met = sent.groupBy("bucket").applyInPandas(meet, "part int, block int, bucket int, answers binary")
+    sent = docs.mapInArrow(send, "bucket int, part int, block int, sign long, keys binary, vals binary")
+    met = sent.groupBy("bucket").applyInPandas(meet, "part int, block int, sign long, bucket int, answers binary")
     met.groupBy("part").applyInPandas(store, "part int").write.format("noop").mode("overwrite").save()
     return place
 

@@ -158,7 +158,7 @@ def _vocabulary(values: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tup
 
 def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.1) -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    given = as_scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "documents")
+    given = as_scan(docs, "documents", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = given.sparkSession
 
     def in_training(block: Block) -> np.ndarray:
@@ -231,7 +231,7 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: s
             answers = answers or Answers(counted, part, np.int64)
             t = Tokens(block)
             keys, number_of = np.unique(t.hashes, return_inverse=True)
-            counts = answers.of(number, len(keys))[number_of]
+            counts = answers.of(number, block, len(keys))[number_of]
             base = np.log10((counts + 0.5) / whole)
             classes = t.classes(hot, numbers)
             histories, which = np.unique(t.histories(classes), return_inverse=True)

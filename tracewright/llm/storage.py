@@ -7,19 +7,23 @@ inputs, so every side file of an operator lives below that folder.
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a folder of our own only where none is set, as in tests."""
+    """The session's shared folder; a folder of our own only on one machine where none is set, as in tests."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         context.setCheckpointDir(found)
     return found
@@ -108,14 +112,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def as_scan(df: DataFrame, name: str) -> DataFrame:
-    """A frame whose partitions stay the same in every pass over it.
+#: Settings that decide how files are cut into partitions.
+_SPLITS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
 
-    A plain scan of files is one already; anything else is written to the shared folder first.
+
+def as_scan(df: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """The columns of a frame, with the same partitions in every pass, whatever happens to executors or settings.
+
+    It is a scan of files in a session of its own, which keeps the settings that decide how files are
+    cut, the least number of partitions among them, so that neither a lost executor nor a later change of
+    settings moves a row. Anything but a plain table of parquet files is written to the shared folder first.
     """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    plain = plan.count("FileScan parquet") == 1 and not any(x in plan for x in ("Exchange", "Join", "Union", "Python", "Arrow", "Sample", "InMemoryTableScan"))
-    return df if plain else written(df, name)
+    spark = df.sparkSession
+    files, plan = df.inputFiles(), df._jdf.queryExecution().analyzed().toString().strip()
+    plain = files and plan.startswith("Relation [") and plan.endswith("parquet") and "\n" not in plan and not any(x in f for f in files for x in "=%")
+    if not plain:
+        df = written(df.select(*columns), name)
+        files, columns = df.inputFiles(), [F.col(c) for c in df.columns]
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    for key in _SPLITS:
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return (own.read.schema(df.schema).parquet(*files) if files else own.createDataFrame([], df.schema)).select(*columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

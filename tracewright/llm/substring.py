@@ -101,7 +101,7 @@ class Windows:
 
 def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text: words joined by one space)."""
-    given = as_scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "documents")
+    given = as_scan(docs, "documents", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def phrase_keys(part: int, number: int, block: Block) -> tuple[np.ndarray, np.ndarray]:
         return Windows(block, window, seed).phrase_keys(block.ids)
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, id_col: st
             held.update(part=part, answers=Answers(phrases, part))
         w = Windows(block, window, seed)
         keys, _ = w.phrase_keys(block.ids)
-        return w, w.locate(keys[held["answers"].of(number, len(keys)) >= 2])
+        return w, w.locate(keys[held["answers"].of(number, block, len(keys)) >= 2])
 
     def window_keys(part: int, number: int, block: Block) -> tuple[np.ndarray, np.ndarray]:
         w, found = located(part, number, block)
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, id_col: st
             answers = answers or Answers(smaller, part)
             w, found = located(part, number, block)
             keys, least, key = w.window_keys(block.ids, found)
-            gone = (answers.of(number, len(keys))[key] > 0) | (block.ids[w.doc[found]] > least[key])
+            gone = (answers.of(number, block, len(keys))[key] > 0) | (block.ids[w.doc[found]] > least[key])
             starts = w.starts[found][gone]
             steps = np.zeros(len(w.hashes) + 1, np.int64)
             np.add.at(steps, starts, 1)

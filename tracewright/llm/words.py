@@ -7,6 +7,7 @@ The same step over word hashes gives hashes of word windows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,8 +125,16 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.
 class Block:
     """Texts of some consecutive rows, at most BLOCK bytes or one text."""
 
-    def __init__(self, ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
-        self.ids, self.raw, self.offsets = ids, raw, offsets
+    def __init__(self, ids: np.ndarray, known: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
+        """ids: 0 where there is none; known: where there is one."""
+        self.ids, self.known, self.raw, self.offsets = ids, known, raw, offsets
+
+    def id_column(self) -> pa.Array:
+        return pa.array(self.ids, pa.int64(), mask=~self.known)
+
+    def sign(self) -> int:
+        """Tells blocks of other rows or texts apart."""
+        return zlib.crc32(self.ids.tobytes(), zlib.crc32(self.offsets.tobytes()))
 
     def words(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, bounds): text i has the words bounds[i]..bounds[i+1]."""
@@ -139,17 +148,19 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, limit: int = BLOCK) -> Iterator[Block]:
     """Cuts a partition into blocks that depend on its rows only, not on how Arrow batches them."""
     ids: list[np.ndarray] = []
+    known: list[np.ndarray] = []
     raws: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     held = 0
 
     def made() -> Block:
         sizes = np.concatenate(lengths)
-        return Block(np.concatenate(ids), np.concatenate(raws), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]))
+        return Block(np.concatenate(ids), np.concatenate(known), np.concatenate(raws), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]))
 
     for batch in batches:
         raw, offsets = text_buffer(batch.column(text_col))
-        keys = np.asarray(batch.column(id_col).fill_null(-1).to_numpy(zero_copy_only=False), np.int64)
+        there = batch.column(id_col).is_valid().to_numpy(zero_copy_only=False)
+        keys = np.asarray(batch.column(id_col).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
         at = 0
         while at < len(keys):
             to = int(np.searchsorted(offsets, offsets[at] + limit - held, side="right")) - 1
@@ -158,13 +169,14 @@ def blocks(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str, limit:
                 to = at + 1
             if to > at:
                 ids.append(keys[at:to])
+                known.append(there[at:to])
                 raws.append(raw[offsets[at] : offsets[to]])
                 lengths.append(np.diff(offsets[at : to + 1]))
                 held += int(offsets[to] - offsets[at])
                 at = to
             if at < len(keys) or held >= limit:
                 yield made()
-                ids, raws, lengths, held = [], [], [], 0
+                ids, known, raws, lengths, held = [], [], [], [], 0
     if ids:
         yield made()
 
