@@ -10,7 +10,7 @@ these can't overlap enough (the size bound). Of each such column the row with th
 its own is the centre, and a sparse product of all rows with their centres accumulates overlap counts.
 With r entries of the centre c missing in a row and s others in their place, two rows a and b overlap
 in |c| - r(a) - r(b) + x entries, x being the differences they share. Rows linked with the centre are
-connected already. Any other link needs an x that sizes bound from above, which leaves few rows; these
+connected already; of columns that hold the same rows one is taken. Any other link needs an x that sizes bound from above, which leaves few rows; these
 meet again around a new centre, and what is left then is multiplied out in blocks
 of bounded size, where overlap counts accumulate over the columns and a task gives a spanning forest
 of its links. A large group of near copies thus costs its size, not its square, hot columns are split
@@ -154,8 +154,17 @@ def block_forest(rows: list[np.ndarray], sizes: np.ndarray, percent: int, side:
     return found
 
 
+def _columns(rows: DataFrame) -> DataFrame:
+    """Columns (gram, c, rows) of two rows or more, one of those that hold the same rows; c: the row with the least lead."""
+    by = F.xxhash64("doc")
+    held = rows.groupBy("gram").agg(F.min(F.struct("lead", "doc")).alias("c"), F.count(F.lit(1)).alias("rows"), F.bit_xor(by).alias("x"), F.sum(F.pmod(by, F.lit(1 << 31))).alias("y"))
+    held = held.where("rows >= 2").select("gram", F.col("c.doc").alias("c"), "rows", "x", "y")
+    return held.groupBy("c", "rows", "x", "y").agg(F.min("gram").alias("gram")).select("gram", "c", "rows")
+
+
 def _linked_pairs(live: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
     """(a, b) that connect all linked rows of each column of live (gram, doc); rows are multiplied out in blocks."""
+    live = written(live.join(_columns(live).select("gram"), "gram", "left_semi").select("gram", "doc"), "live")
     sized = live.join(matrix.select(F.col("doc_id").alias("doc"), "n", "row"), "doc")
     sizes = live.join(matrix.select(F.col("doc_id").alias("doc"), "n"), "doc").groupBy("gram")
     sizes = sizes.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ENTRIES)).cast("int").alias("parts"))
@@ -227,8 +236,7 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
 
     def around_centres(rows: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
         """(links with centres, rows of columns that may have more): rows are (gram, doc, lead), the least lead being the centre."""
-        centres = rows.groupBy("gram").agg(F.min(F.struct("lead", "doc")).alias("c"), F.count(F.lit(1)).alias("rows")).where("rows >= 2")
-        centres = centres.select("gram", F.col("c.doc").alias("c"), (F.col("rows") >= 3).alias("more"))
+        centres = _columns(rows).select("gram", "c", (F.col("rows") >= 3).alias("more"))
         beside = rows.join(centres, "gram").where("doc != c").select(F.when(F.col("more"), F.col("gram")).alias("gram"), F.col("doc").alias("a"), "c", F.when(F.col("more"), F.col("lead")).alias("lead"))
         beside = written(beside, "beside")
         left = matrix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("row").alias("ra"))
@@ -267,6 +275,6 @@ def linked_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: st
         if live.isEmpty():
             break
     else:
-        links = links.union(written(_linked_pairs(live.select("gram", "doc"), matrix, percent), "links"))
+        links = links.union(written(_linked_pairs(live, matrix, percent), "links"))
     final = written(components(links), "components")
     return table.join(final, table.doc_id == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .licenses import BASE, TEMPLATES, postings
+
 OP2 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex FROM p),
@@ -56,7 +58,36 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIG
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+
+
+def licences() -> str:
+    """The licence scan in SQL: words by place, key phrases, and the weights of words that agree on a template's place."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    base = ", ".join(f"('{label}', {quoted(phrase.split())})" for phrase, label in BASE)
+    keys = ", ".join(f"({k}, '{label}', {first}, {quoted(phrase)})" for k, (label, _, first, phrase) in enumerate(TEMPLATES))
+    index = ", ".join(f"('{w}', {k}, {i})" for w, k, i in postings())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+base(label, phrase) AS (VALUES {base}), keys(k, label, first, phrase) AS (VALUES {keys}), idx(word, k, i) AS (VALUES {index}),
+x AS (SELECT row, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+b AS (SELECT x.row, x.p, label FROM x JOIN base ON x.word = phrase[1] JOIN d ON d.row = x.row WHERE d.w[p + 1:p + len(phrase)] = phrase),
+v AS (SELECT x.row, x.p - first AS place, k, label FROM x JOIN keys ON x.word = phrase[1] JOIN d ON d.row = x.row WHERE d.w[p + 1:p + len(phrase)] = phrase),
+df AS (SELECT word, count(DISTINCT row) AS n FROM x WHERE word IN (SELECT word FROM idx) GROUP BY word),
+weight AS (SELECT DISTINCT idx.word, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df.n, 0) + 1)) + 0.05 AS idf FROM idx LEFT JOIN df ON df.word = idx.word),
+whole AS (SELECT k, sum(idf) AS total FROM idx JOIN weight ON weight.word = idx.word GROUP BY k),
+agreed AS (SELECT x.row, idx.k, x.p - idx.i AS place, sum(idf) AS s FROM x JOIN idx ON idx.word = x.word JOIN weight ON weight.word = x.word
+           JOIN v ON v.row = x.row AND v.k = idx.k AND v.place = x.p - idx.i GROUP BY ALL),
+best AS (SELECT row, max(least(s / total, 1.0)) AS score FROM agreed JOIN whole USING (k) GROUP BY row),
+places AS (SELECT row, count(*) AS n, min(p) AS low, max(p) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY row),
+every AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM b UNION ALL SELECT row, label FROM v) GROUP BY row)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(places.n, 0) AS BIGINT) AS n_base, CAST(low AS BIGINT) AS first_word, CAST(high AS BIGINT) AS last_word,
+       coalesce(places.labels, '') AS base_labels, coalesce(every.labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
+FROM d LEFT JOIN places USING (row) LEFT JOIN every USING (row) LEFT JOIN best USING (row)
+"""
+
+
 ORACLE: dict[str, str] = {
+    "op6_rare_token_licences": licences(),
     "op2_warc_archives": OP2,
     "op4_suffix_automaton_decontamination": OP4,
     "op7_ngram_jaccard_join": OP7,
