@@ -163,8 +163,9 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 
 def _linked_pairs(live: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that connect all linked rows of each column of live (gram, doc); rows are multiplied out in blocks."""
-    live = written(live.join(_columns(live).select("gram"), "gram", "left_semi").select("gram", "doc"), "live")
+    """(a, b) that connect all linked rows of each column of live (gram, doc, lead); rows are multiplied out in blocks."""
+    live = live.join(_columns(live).select("gram", "c"), "gram").select(F.col("c").alias("gram"), "doc").distinct()  # columns of one centre hold much the same rows
+    live = written(live, "live")
     sized = live.join(matrix.select(F.col("doc_id").alias("doc"), "n", "row"), "doc")
     sizes = live.join(matrix.select(F.col("doc_id").alias("doc"), "n"), "doc").groupBy("gram")
     sizes = sizes.agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ENTRIES)).cast("int").alias("parts"))
