@@ -45,7 +45,7 @@ ROWS = 1 << ROW_BITS
 #: Features: the token before, the one before that, both.
 FEATURES = 3
 #: Prior weight, in tokens, of what the model has of a row already.
-SMOOTH = 24.0
+SMOOTH = 32.0
 #: How far weights move in a round, for each feature.
 RATES = (0.5, 0.3, 0.5)
 #: Bytes of text in a block, tokens in a numpy step.
