@@ -9,7 +9,7 @@ coverage limits.
 
 Null and empty texts have no words and are clean. Items without words have no windows. Repeated rows
 are judged each for itself; repeated item ids count once. An empty benchmark hits nothing. Input
-columns named like a result give way to it.
+columns named like a result, in any case of letters, give way to it.
 """
 
 from __future__ import annotations
@@ -123,6 +123,7 @@ class Automaton:
         hit: list[list[int]] = []
         found: set[int] = set()
         length, link, nexts, w = self.length, self.link, self.next, self.window
+        seen: set[int] = set()  # states whose items are found
         state = matched = 0
         for i, word in enumerate(words):
             while state and word not in nexts[state]:
@@ -135,7 +136,7 @@ class Automaton:
             reach = 0
             if matched >= w:
                 reach = w
-                found |= self.holders[self.tail[state]]
+                seen.add(self.tail[state])
             whole = self.whole[state]
             while whole:
                 for n, item in self.shorts[whole]:
@@ -148,7 +149,7 @@ class Automaton:
                 while hit and hit[-1][1] >= first:
                     first = min(first, hit.pop()[0])
                 hit.append([first, i + 1])
-        return [(a, b) for a, b in hit], found
+        return [(a, b) for a, b in hit], found.union(*(self.holders[s] for s in seen))
 
 
 def build_automata(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list[str]:
@@ -188,8 +189,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
     """
     paths = build_automata(benchmark, window, item_col, item_text_col)
     names = [x.split(" ")[0] for x in RESULT.split(", ")]
-    kept = [c for c in docs.columns if c not in names and (clean or c != text_col)]
-    given = docs.select(*kept, F.col(text_col).alias("_text"))
+    kept = [c for c in docs.columns if c.lower() not in names and (clean or c.lower() != text_col.lower())]
+    given = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).alias("_text"))
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), RESULT])
 
     def overlaps(block: Block) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]], np.ndarray, np.ndarray]:
@@ -225,14 +226,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
                     found[doc] |= {automaton.names[i] for i in items}
         return bounds, [_merged(x) for x in hit], found, starts, ends
 
+    limit = 2 * PIECE if len(paths) == 1 else 64 * PIECE  # automata that take turns are loaded once for more text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_buffer(batch.column(batch.num_columns - 1))
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 2 * PIECE, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
                 to = min(to, batch.num_rows)
-                block = Block(np.zeros(0), raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                block = Block(np.zeros(0), np.zeros(0, bool), raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
                 bounds, hit, found, starts, ends = overlaps(block)
                 n_words = np.diff(bounds)
                 texts = []

@@ -190,7 +190,8 @@ def _accepted(weights: list[float], c: Column) -> Column:
 def find_pii(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """The documents with ``_pii``: spans as structs of start, kind number, end, in order.
 
-    Without keep_text the text column is left out, so that only spans are held in the shared folder.
+    Without keep_text the text column is left out, so that only spans are held in the shared folder. An
+    input column of that name gives way to it.
     """
     found = docs.withColumn("_pii", candidates(F.col(text_col)))
     held = written(found if keep_text else found.drop(text_col), "candidates")

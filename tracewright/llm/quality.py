@@ -2,14 +2,15 @@
 
 A text's statistics become a transformed vector. For each language and source a minimum covariance
 determinant estimate is made the deterministic way: a start from medians and quartiles, then
-concentration steps that re-estimate mean and covariance from the half with the least distances,
-then reweighting. Documents beyond a cut-off of the Mahalanobis distance are rejected. Groups of
-under ``min_group`` documents use the estimate of their language, or of all documents.
+concentration steps that re-estimate mean and covariance from the half with the least distances
+until no determinant falls any more, then reweighting. Documents beyond a cut-off of the Mahalanobis
+distance are rejected. Groups of under ``min_group`` documents that pass the base rules use the
+estimate of their language, or of all documents; where these are as few, none is rejected.
 
 Everything is DataFrame expressions; an estimate is one row of a small table, and hot groups are
 pre-aggregated. Null texts have no words, so the base rules fail them. Null languages and sources are
-groups of their own. Repeated rows count each. An empty table gives an empty result. Input columns
-are kept as they are, whatever their names; the statistics sit in one struct column.
+groups of their own. Repeated rows count each; equal statistics have equal verdicts. An empty table
+gives an empty result. Input columns are kept as they are, whatever their names, in one struct column.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ DIMENSIONS = 4
 FLOOR = 0.05
 #: Quantiles of the chi-square distribution with 4 degrees of freedom: 0.5, 0.975, and 0.999 for rejection.
 CHI2_MEDIAN, CHI2_REWEIGHT, CHI2_REJECT = 3.357, 11.143, 18.467
-CONCENTRATION_STEPS = 3
-#: Groups up to which their estimates are broadcast; more are joined by key.
+#: Concentration steps at most, and the fall of a determinant's logarithm that counts as none.
+CONCENTRATION_STEPS, CONVERGED = 12, 1e-3
+#: Groups up to which their estimates are broadcast; more are joined by key, those of languages and of all apart.
 BROADCAST_GROUPS = 50_000
 
 
@@ -141,6 +143,14 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
 
 
+def _beside(points: DataFrame, table: DataFrame) -> DataFrame:
+    """The points with their group's row of a written table; where groups are many, the keys that most points share stay out of the shuffle."""
+    if table.count() <= BROADCAST_GROUPS:
+        return points.join(F.broadcast(table), "key")
+    by_source = F.startswith("key", F.lit("source"))
+    return points.where(by_source).join(table.where(by_source), "key").unionByName(points.where(~by_source).join(_small(table.where(~by_source)), "key"))
+
+
 def estimates(stats: DataFrame, q: str, lang_col: str, source_col: str) -> DataFrame:
     """Robust estimates per key of a table of statistics; ``scale`` makes distances chi-square."""
     keys = F.array(*_levels(F.col(lang_col), F.col(source_col)))
@@ -151,16 +161,21 @@ def estimates(stats: DataFrame, q: str, lang_col: str, source_col: str) -> DataF
     for i, x in enumerate(xs):
         q3 = F.col(f"q{i}")
         near = near + F.pow((x - q3[1]) / F.greatest((q3[2] - q3[0]) / 1.349, F.lit(FLOOR)), F.lit(2))
-    distant = points.join(_small(written(quartiles, "quartiles")), "key").select("key", *xs, near.alias("d"))
+    distant = _beside(points, written(quartiles, "quartiles")).select("key", *xs, near.alias("d"))
     model = None
     for step in range(CONCENTRATION_STEPS):
         if model is not None:
-            distant = points.join(_small(model), "key").select("key", *xs, _distance(xs).alias("d"))
+            distant = _beside(points, model).select("key", *xs, _distance(xs).alias("d"))
         half = written(distant.groupBy("key").agg(F.percentile_approx("d", 0.5, 2000).alias("h")), "halves")
-        model = _estimate(distant.join(_small(half), "key").where("d <= h"), f"estimates-{step}")
-    distant = points.join(_small(model), "key").select("key", *xs, _distance(xs).alias("d"))
+        before, model = model, _estimate(_beside(distant, half).where("d <= h"), f"estimates-{step}")
+        if before is not None:
+            size = sum((F.log(f"l{i}{i}") for i in _AXES), F.lit(0.0))
+            falls = before.select("key", size.alias("was")).join(model.select("key", size.alias("now")), "key")
+            if (falls.agg(F.max(F.col("was") - F.col("now"))).first()[0] or 0.0) < CONVERGED:
+                break
+    distant = _beside(points, model).select("key", *xs, _distance(xs).alias("d"))
     scale = written(distant.groupBy("key").agg(F.greatest(F.percentile_approx("d", 0.5, 2000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "scales")
-    inner = distant.join(_small(scale), "key").where(F.col("d") <= F.col("scale") * CHI2_REWEIGHT)
+    inner = _beside(distant, scale).where(F.col("d") <= F.col("scale") * CHI2_REWEIGHT)
     final = _estimate(inner, "estimates")
     count = points.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     return final.join(count, "key")
@@ -173,7 +188,7 @@ def judged(stats: DataFrame, q: str = "_q", lang_col: str = "lang", source_col:
     distances = []
     for level, key in enumerate(_levels(F.col(lang_col), F.col(source_col))):
         prefix = f"_m{level}_"
-        renamed = models.select(*(F.col(c).alias(prefix + c) for c in models.columns))
+        renamed = models.where(F.startswith("key", F.lit(("source", "lang", "all")[level]))).select(*(F.col(c).alias(prefix + c) for c in models.columns))
         out = out.join(_small(renamed), key == F.col(f"{prefix}key"), "left")
         distances.append(_distance(_vector(F.col(q)), prefix))
     out = out.withColumn("_distance", F.coalesce(*distances))
@@ -182,5 +197,8 @@ def judged(stats: DataFrame, q: str = "_q", lang_col: str = "lang", source_col:
 
 
 def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
-    """The documents with ``_q``, ``_distance`` and ``_kept``; the statistics are taken once and kept in the shared folder."""
-    return judged(written(measured(docs, text_col, "_q"), "measured"), "_q", lang_col, source_col, **options)
+    """The documents as the struct ``row``, with ``_q``, ``_distance`` and ``_kept``; the statistics are taken once and kept in the shared folder."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    given = docs.select(row, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    stats = written(measured(given, "text", "_q").drop("text"), "measured")
+    return judged(stats, **options).select("row", "_q", "_distance", "_kept")

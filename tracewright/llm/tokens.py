@@ -3,7 +3,7 @@
 The library encodes a text piece by piece, and no piece spans a step from another character to white
 space, so texts are cut there and each distinct cut is encoded once. A cut of Latin letters with
 trailing ASCII punctuation goes straight to the library's BPE model; any other cut, and texts with
-unusual white space, go through the full encoder.
+unusual white space or one of the vocabulary's added tokens, go through the full encoder.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("vocabularies of up to 65,536 ids are supported")
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.spaced = "word" not in name.rpartition("/")[2]  # white space is part of tokens
@@ -140,6 +140,7 @@ class WordEncoder:
         if odd is None:
             raw = np.frombuffer(text.encode(), np.uint8)
             odd = bool(_odd(raw).size)
+        odd = odd or any(x in text for x in self.added)
         return np.frombuffer(self._full(text) if odd else self._parts(text), "<u2").astype("<u4")
 
     def encode_column(self, column: pa.Array) -> Iterator[np.ndarray]:
