@@ -3,19 +3,21 @@
 A window is ``window`` consecutive words. Of each window the ``seed``-word phrase with the least hash
 stands for it, so equal windows have equal phrases. Phrases that occur in two documents or more are
 confirmed by an exchange over all documents. Each block of documents compiles its recurring phrases
-into an automaton of its own (a shard, bounded by the block), and streams its documents through it,
-every word as one character, to locate all occurrences. Windows around an occurrence are compared
-over all documents by 64-bit hashes of their words; a window that also starts in a document with a
-smaller id is removed, word by word.
+into an automaton (a shard, bounded by the block), and streams its documents through it, every word as
+one character, to locate all occurrences. Only windows that hold an occurrence are candidates; they
+are compared over all documents by 64-bit hashes of their words, and a window that also starts in a
+document with a smaller id is removed, word by word. Which windows were located is noted in the shared
+folder, so the last pass needs no automaton.
 
 Null and empty texts have no words; texts shorter than a window keep all of them. Rows with equal ids
-count as one document; null ids count as -1. An empty table gives an empty result. Other columns
+count as one document; texts without an id keep all words and remove none. An empty table gives an empty result. Other columns
 are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .exchange import Answers, beaten, exchange, numbered, total_capped
 from .storage import as_scan
 from .words import AS_IS, Block, inside_one, window_hashes
 
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` consecutive values, by doubling."""
@@ -53,6 +54,9 @@ class Windows:
         least = _sliding_min(self.phrases, window - seed + 1) if n else self.phrases[:0]
         self.least = least[self.starts]
         self.doc = np.searchsorted(self.bounds, self.starts, side="right") - 1
+        if not block.known.all():  # texts without an id take no part
+            used = block.known[self.doc]
+            self.starts, self.least, self.doc = self.starts[used], self.least[used], self.doc[used]
 
     def phrase_keys(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct phrases that stand for windows, and in how many documents each does, 2 at most."""
@@ -68,9 +72,10 @@ class Windows:
         return keys, np.minimum(counts, 2)
 
     def locate(self, recurring: np.ndarray) -> np.ndarray:
-        """Which windows hold an occurrence of their phrase that the automaton located."""
+        """Which windows hold an occurrence of a recurring phrase; the automaton alone locates them."""
+        found = np.zeros(len(self.starts), bool)
         if not len(recurring):
-            return np.zeros(len(self.starts), bool)
+            return found
         code = self.hashes % np.uint64(0x110000 - 0x801) + np.uint64(1)
         code[code >= 0xD800] += np.uint64(0x800)
         text = code.astype("<u4").tobytes().decode("utf-32-le")
@@ -79,16 +84,14 @@ class Windows:
         width = self.window - self.seed + 1
         begin = self.starts[first[shown]]
         places = begin + np.lib.stride_tricks.sliding_window_view(self.phrases, width)[begin].argmin(axis=1)
-        automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in places.tolist():
-            automaton.add_word(text[p : p + self.seed], self.seed)
+            automaton.add_word(text[p : p + self.seed])
         automaton.make_automaton()
-        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-        found = np.full(len(self.phrases), _NONE)
-        at = ends - self.seed + 1
-        at = at[np.isin(self.phrases[at], recurring)]  # the same words, not only the same characters
-        found[at] = self.phrases[at]
-        return _sliding_min(found, width)[self.starts] == self.least
+        starts = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - (self.seed - 1)
+        total = np.zeros(len(self.hashes) + 1, np.int64)
+        total[1:] = np.cumsum(np.bincount(starts, minlength=len(self.hashes)))
+        return total[self.starts + width] > total[self.starts]
 
     def window_keys(self, ids: np.ndarray, located: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct located windows, the smallest id with each, and the key number of each located window."""
@@ -108,18 +111,21 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, id_col: st
 
     phrases = exchange(given, phrase_keys, total_capped, "phrases")
     held: dict = {}  # answers of the partition at hand
+    places = storage.scratch(given.sparkSession, "located")
 
-    def located(part: int, number: int, block: Block) -> tuple[Windows, np.ndarray]:
+    def window_keys(part: int, number: int, block: Block) -> tuple[np.ndarray, np.ndarray]:
         if held.get("part") != part:
             held.update(part=part, answers=Answers(phrases, part))
         w = Windows(block, window, seed)
         keys, _ = w.phrase_keys(block.ids)
-        return w, w.locate(keys[held["answers"].of(number, block, len(keys)) >= 2])
-
-    def window_keys(part: int, number: int, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        w, found = located(part, number, block)
+        found = w.locate(keys[held["answers"].of(number, block, len(keys)) >= 2])
+        storage.write_file(f"{places}/{part:06d}-{number:06d}.bin", zlib.compress(np.packbits(found).tobytes(), 1))
         return w.window_keys(block.ids, found)[:2]
 
+    def located(part: int, number: int, w: Windows) -> np.ndarray:
+        bits = np.frombuffer(zlib.decompress(storage.read_file(f"{places}/{part:06d}-{number:06d}.bin")), np.uint8)
+        return np.unpackbits(bits, count=len(w.starts)).astype(bool)
+
     smaller = exchange(given, window_keys, beaten, "windows", wide=True)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
 
@@ -127,7 +133,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, id_col: st
         answers = None
         for part, number, block in numbered(batches):
             answers = answers or Answers(smaller, part)
-            w, found = located(part, number, block)
+            w = Windows(block, window, seed)
+            found = located(part, number, w)
             keys, least, key = w.window_keys(block.ids, found)
             gone = (answers.of(number, block, len(keys))[key] > 0) | (block.ids[w.doc[found]] > least[key])
             starts = w.starts[found][gone]
@@ -145,7 +152,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, seed: int = 10, id_col: st
                     kept = ~covered[w.bounds[i] : w.bounds[i + 1]]
                     words = [x for x, k in zip(words, kept.tolist()) if k]
                 texts.append(b" ".join(words))
-            columns = [block.ids, n_words, n_removed, [hashlib.sha256(t).hexdigest() for t in texts], *([[t.decode() for t in texts]] if with_text else [])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+            columns = [block.id_column(), n_words, n_removed, [hashlib.sha256(t).hexdigest() for t in texts], *([[t.decode() for t in texts]] if with_text else [])]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
     return given.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
