@@ -40,14 +40,14 @@ from .words import LOWERED, Block, hash_spans, mixed, spans
 FAN, FACTORS = 16, 3
 GROUPS = FAN**FACTORS
 #: Hashed rows of each feature in each factor, a power of two; the classes fixed so far are their first bits.
-ROW_BITS = 16
+ROW_BITS = 15
 ROWS = 1 << ROW_BITS
 #: Features: the token before, the one before that, both.
 FEATURES = 3
 #: Prior weight, in tokens, of what the model has of a row already.
 SMOOTH = 32.0
 #: How far weights move in a round, for each feature.
-RATES = (0.5, 0.3, 0.5)
+RATES = (0.5, 0.35, 0.55)
 #: Bytes of text in a block, tokens in a numpy step.
 BLOCK_BYTES = 8 << 20
 BATCH = 1 << 16
@@ -55,8 +55,8 @@ _END = np.uint64(0xA5A5F00D5EED0001)
 _ONES = np.ones(FAN, np.float32)
 #: Largest weight of a feature.
 LIMIT = 20.0
-#: Pieces in which sums come to the driver.
-CHUNKS = 64
+#: Pieces in which sums come to the driver, and partitions whose sums are added first.
+CHUNKS, NEAR = 64, 128
 
 
 class Tokens:
@@ -179,8 +179,8 @@ class Sums:
                 self.of[k][f][sorted_[starts]] += np.add.reduceat(p.take(order, axis=0), starts, axis=0)
 
     def chunks(self) -> list[tuple[int, bytes]]:
-        flat = np.concatenate([x.reshape(-1) for x in self.of])
-        return [(i, part.tobytes()) for i, part in enumerate(np.array_split(flat, CHUNKS))]
+        flat = np.concatenate([x.reshape(-1) for x in self.of]).astype(np.float32)
+        return [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.array_split(flat, CHUNKS))]
 
 
 def batches_of(features: list[np.ndarray], groups: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -247,20 +247,20 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: s
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["chunk", "sums"])
 
     def added(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(group["sums"].iloc[0]) // 8)
+        total = 0.0
         for x in group["sums"]:
-            total += np.frombuffer(x)
-        return pd.DataFrame({"chunk": [key[0]], "sums": [total.tobytes()]})
+            total = total + np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64)
+        return pd.DataFrame({"chunk": [key[0]], "sums": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
     def gathered(start: Model | None) -> list[np.ndarray]:
-        """Sums over all partitions, first within groups of partitions; their size doesn't grow with the input."""
+        """Sums over all partitions, first within NEAR partitions; their size doesn't grow with the input."""
         shared = spark.sparkContext.broadcast(pickle.dumps(start))
         form = "chunk int, sums binary"
         sent = given.mapInArrow(lambda batches: summed(batches, pickle.loads(shared.value)), form)
-        sums = sent.withColumn("part", F.spark_partition_id() % 32).groupBy("chunk", "part").applyInPandas(added, form).groupBy("chunk").applyInPandas(added, form)
-        flat = np.concatenate([np.frombuffer(r.sums) for r in sorted(sums.collect(), key=lambda r: r.chunk)])  # CHUNKS rows
+        sums = sent.withColumn("near", F.floor(F.spark_partition_id() / NEAR)).groupBy("chunk", "near").applyInPandas(added, form).groupBy("chunk").applyInPandas(added, form)
+        pieces = [np.frombuffer(zlib.decompress(r.sums), np.float32) for r in sorted(sums.collect(), key=lambda r: r.chunk)]  # CHUNKS rows
         shared.unpersist()
-        return list(flat.reshape(FACTORS, FEATURES, ROWS, FAN))
+        return list(np.concatenate(pieces).astype(np.float64).reshape(FACTORS, FEATURES, ROWS, FAN))
 
     observed = gathered(None) if total and rounds else None
     for r in range(rounds if total else 0):
