@@ -9,7 +9,7 @@ length of the text as it then is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.decontaminate import find_overlaps
@@ -23,14 +23,21 @@ from tracewright.llm.storage import written
 MAX_COVERAGE = 0.8
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The given columns, with text and its length taken from another column."""
-    new = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return docs.select(*(new.get(c, F.col(c)) for c in columns))
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The text, and the other columns in one struct, where no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]
+    return docs.select(F.struct(*others, F.lit(None).cast("int").alias("none")).alias("row"), "text")
+
+
+def _unwrapped(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The given columns, with the text and its length from a column."""
+    new = docs.select("row", text.alias("text"))
+    taken = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return new.select(*(taken[c] if c in taken else F.col("row").getField(c).alias(c) for c in columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality(docs).where("_kept").select(*docs.columns)
+    return quality(docs).where("_kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +48,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_overlaps(docs, benchmark, window=10, max_coverage=MAX_COVERAGE, clean=True)
-    return _with_text(found.where("clean_text is not null"), docs.columns, "clean_text")
+    found = find_overlaps(_wrapped(docs), benchmark, window=10, max_coverage=MAX_COVERAGE, clean=True)
+    return _unwrapped(found.where("clean_text is not null"), docs.columns, F.col("clean_text"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_pii(docs, keep_text=True)
-    return _with_text(found.withColumn("_redacted", redacted(F.coalesce("text", F.lit("")), F.col("_pii"))), docs.columns, "_redacted")
+    found = find_pii(_wrapped(docs), keep_text=True)
+    return _unwrapped(found, docs.columns, redacted(F.coalesce("text", F.lit("")), F.col("_pii")))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
