@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DOMAIN
 
+#: Leaving one out makes a copy of the entities for each domain; more than these are refused.
+MOST_DOMAINS = 1000
+
 
 def in_domain(live: DataFrame) -> DataFrame:
     """Each domain by itself; the role is the split."""
@@ -17,23 +18,36 @@ def in_domain(live: DataFrame) -> DataFrame:
 
 def leave_one_out(live: DataFrame) -> DataFrame:
     """For each domain: all its entities as test, train and val from the others."""
-    held = live.select(F.col(DOMAIN).alias("held_out")).distinct()  # a row per domain
+    found = [r[0] for r in live.select(DOMAIN).distinct().limit(MOST_DOMAINS + 1).collect()]
+    if len(found) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains: each is a fold over all entities")
+    held = live.sparkSession.createDataFrame([(x,) for x in sorted(x for x in found if x is not None)], "held_out string")
     role = F.when(F.col(DOMAIN) == F.col("held_out"), "test").when(F.col("split").isin("train", "val"), F.col("split"))
     out = live.crossJoin(F.broadcast(held)).withColumn("role", role).where("role is not null")
     return out.select(*live.columns, F.lit("leave-one-architecture-out").alias("experiment"), "held_out", "role")
 
 
 def compare(results: DataFrame, labels: list[str], metric: str = "mcc") -> DataFrame:
-    """One metric of the plain run and each labelled run side by side; folds that a run lacks are left out."""
-    keys = ["experiment", "held_out", "view"]
-    named = [F.startswith(F.col("experiment"), F.lit(f"{label} ")) for label in labels]
-    plain = results.where(~reduce(lambda a, b: a | b, named, F.lit(False))).select(*keys, "test_n", F.col(metric).alias("whole"))
+    """A metric of all runs of a fold in one row: the unlabelled run as ``whole``, then a column per label.
+
+    One aggregation over fold and view. A fold that some run lacks gives no row; one that runs score over
+    different numbers of entities raises.
+    """
+    run, base = F.lit("whole"), F.col("experiment")
     for label in labels:
-        prefix = f"{label} "
-        run = results.where(F.startswith(F.col("experiment"), F.lit(prefix)))
-        run = run.select(F.substr("experiment", F.lit(len(prefix) + 1)).alias("experiment"), "held_out", "view", F.col("test_n").alias("_n"), F.col(metric).alias(label))
-        plain = plain.join(run, keys).withColumn("test_n", F.when(F.col("test_n") == F.col("_n"), F.col("test_n")).otherwise(F.raise_error(F.lit(f"folds of {label} score different entities")).cast("long"))).drop("_n")
-    return plain
+        mine = F.startswith(F.col("experiment"), F.lit(f"{label} "))
+        run = F.when(mine, F.lit(label)).otherwise(run)
+        base = F.when(mine, F.substr("experiment", F.lit(len(label) + 2))).otherwise(base)
+    sides = ["whole", *labels]
+    folds = results.withColumns({"_run": run, "experiment": base}).groupBy("experiment", "held_out", "view")
+    wide = folds.agg(
+        F.count_distinct("_run").alias("_runs"),
+        F.min("test_n").alias("_least"),
+        F.max("test_n").alias("_most"),
+        *(F.max(F.when(F.col("_run") == side, F.col(metric))).alias(side) for side in sides),
+    )
+    whole = F.when(F.col("_least") == F.col("_most"), F.col("_most")).otherwise(F.raise_error(F.lit("runs of one fold score different entities")).cast("long"))
+    return wide.where(F.col("_runs") == len(sides)).select("experiment", "held_out", "view", whole.alias("test_n"), *sides)
 
 
 def summarize(results: DataFrame, kinds: tuple[str, ...] = ("row_random", "hash_grouped", "behaviour_grouped")) -> DataFrame:

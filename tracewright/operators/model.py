@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,6 +13,9 @@ from ..functions.features import featurize
 from .folds import in_domain, leave_one_out
 from .metrics import auroc, binary_metrics, choose_threshold, collapse, multiclass_metrics
 
+#: Rounds beyond the patience in the first fit; rows in a task of a fit, whose many jobs are short where rows are few.
+FEW_ROUNDS, ROWS_A_TASK = 10, 50_000
+
 
 def assembled(df: DataFrame, columns: list[str], cfg: ModelConfig) -> DataFrame:
     """The frame with ``features`` (a vector) and ``y``."""
@@ -25,19 +28,36 @@ def _trees(cfg: ModelConfig, rounds: int) -> GBTClassifier:
     return GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.row_share, featureSubsetStrategy=str(cfg.column_share), seed=cfg.seed)
 
 
-def fit(train: DataFrame, val: DataFrame, cfg: ModelConfig):
-    """(model, best round): rounds stop where validation loss hasn't fallen for ``patience`` rounds."""
-    model = _trees(cfg, cfg.rounds).fit(train)
-    losses = model.evaluateEachIteration(val)
-    best, since = 0, 0
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(rounds up to the least loss before ``patience`` rounds without a lesser one, whether these were seen)."""
+    best = 0
     for i, loss in enumerate(losses):
         if loss < losses[best]:
-            best, since = i, 0
-        else:
-            since += 1
-            if since >= cfg.patience:
-                break
-    return (model if best + 1 == len(losses) else _trees(cfg, best + 1).fit(train)), best + 1
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit(train: DataFrame, val: DataFrame, cfg: ModelConfig):
+    """(model, best round): rounds stop where validation loss hasn't fallen for ``patience`` rounds.
+
+    Rounds are fitted in doubling numbers, from patience and a few on, until enough have been seen; trees
+    are seeded, so a shorter fit is the beginning of a longer one.
+    """
+    held = train.persist(), val.persist()
+    train, val = (df.coalesce(1 + df.count() // ROWS_A_TASK) for df in held)
+    try:
+        n = min(cfg.rounds, cfg.patience + FEW_ROUNDS)
+        while True:
+            model = _trees(cfg, n).fit(train)
+            best, done = best_round(model.evaluateEachIteration(val), cfg.patience)
+            if done or n == cfg.rounds:
+                return (model if best == n else _trees(cfg, best).fit(train)), best
+            n = min(cfg.rounds, 2 * n)
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def scores(model, rows: DataFrame) -> DataFrame:
@@ -89,19 +109,31 @@ def run(live: DataFrame, columns: list[str], cfg: ModelConfig, label: str | None
 
 
 def run_prefix(store: DataFrame, assignment_live, columns: list[str], cfg: ModelConfig, calls: int, drop: tuple[str, ...] = (), label: str | None = None) -> DataFrame:
-    """All folds on a first-N store; longer traces and unknown dropped columns raise."""
-    if store.where(F.col("windows") > calls).limit(1).count():
-        raise ValueError(f"the store has entities with more than {calls} rows")
-    unknown = sorted(set(drop) - set(columns))
-    if unknown:
-        raise ValueError(f"can't drop unknown columns: {unknown}")
-    return run(assignment_live(store), [c for c in columns if c not in drop], cfg, label or f"first-{calls}")
+    """All folds on a store of first-N rows, less some columns; what isn't a first-N store, or not a column, raises."""
+    left = [c for c in columns if c not in drop]
+    if len(left) + len(set(drop)) != len(columns):
+        raise ValueError(f"not among the columns: {', '.join(sorted(set(drop).difference(columns)))}")
+    longest = store.agg(F.max("windows")).first()[0]
+    if longest is not None and longest > calls:
+        raise ValueError(f"an entity has {longest} rows where {calls} are the most")
+    return run(assignment_live(store), left, cfg, label or f"first-{calls}")
 
 
 def domain_sanity(live: DataFrame, columns: list[str], cfg: ModelConfig) -> DataFrame:
-    """Can the domain be told from the features? One row of multi-class metrics on the test split."""
+    """Can the domain be told from the features? One row of multi-class metrics on the test split.
+
+    One model per domain against the others, each with its own best round; the largest probability decides.
+    """
     rows = assembled(live, columns, cfg).drop("y")
     train = rows.where("split = 'train'")
-    index = StringIndexer(inputCol=DOMAIN, outputCol="y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
-    model = OneVsRest(classifier=_trees(cfg, cfg.rounds), labelCol="y").fit(index.transform(train))
-    return multiclass_metrics(model.transform(index.transform(rows.where("split = 'test'"))), "y", "prediction").select(F.lit("architecture-sanity").alias("experiment"), "*")
+    index = StringIndexer(inputCol=DOMAIN, outputCol="domain", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    sides = {s: index.transform(rows.where(F.col("split") == s)) for s in ("train", "val", "test")}
+    test = sides["test"].withColumn("id", F.monotonically_increasing_id()).persist()
+    chances = None
+    for k in range(len(index.labels)):  # a model per domain
+        against = lambda df: df.withColumn("y", (F.col("domain") == k).cast("double"))  # noqa: B023, E731
+        model, _ = fit(against(sides["train"]), against(sides["val"]), cfg)
+        part = scores(model, test).select("id", "domain", "score", F.lit(float(k)).alias("k"))
+        chances = part if chances is None else chances.unionByName(part)
+    chosen = chances.groupBy("id").agg(F.first("domain").alias("y"), F.max_by("k", F.struct("score", -F.col("k"))).alias("prediction"))
+    return multiclass_metrics(chosen, "y", "prediction").select(F.lit("architecture-sanity").alias("experiment"), "*")

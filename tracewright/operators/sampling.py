@@ -38,7 +38,7 @@ def check_draw(sample: DataFrame, plan: DataFrame) -> None:
     """Raises if the sample lacks a row of the plan."""
     missing = plan.join(sample.select(KEY, DOMAIN, "position"), [KEY, DOMAIN, "position"], "left_anti").count()
     if missing:
-        raise ValueError(f"{missing} planned rows are missing from the sample")
+        raise ValueError(f"the sample lacks {missing} rows of the plan")
 
 
 def _edges(fractions: dict[str, float]) -> list[str]:

@@ -101,7 +101,7 @@ def leaks(assignment: DataFrame) -> DataFrame:
 def check(assignment: DataFrame) -> None:
     found = {r.what: r["count"] for r in leaks(assignment).groupBy("what").count().collect()}
     if found:
-        raise AssertionError("; ".join(f"{n} {what} values appear in more than one split" for what, n in sorted(found.items())))
+        raise AssertionError(f"split over several sides: {', '.join(f'{found[what]} by {what}' for what in sorted(found))}")
 
 
 def live_entities(store: DataFrame, assignment: DataFrame, benign: str) -> DataFrame:

@@ -98,12 +98,12 @@ def entities_per_class(spark, d):
     return profiles.per_label(trace(spark, d), "family", "hash").select("family", "entities")
 
 
-@query(f"""WITH {TRACE}, old AS (SELECT hash, CAST(count(*) AS BIGINT) AS n FROM trace WHERE position <= 30 GROUP BY hash), new AS (SELECT hash, CAST(count(*) AS BIGINT) AS n FROM trace WHERE event_id % 2 = 0 GROUP BY hash)
-  SELECT hash, n FROM old WHERE hash NOT IN (SELECT hash FROM new) UNION ALL SELECT hash, n FROM new""")
+@query("""WITH old AS (SELECT c_custkey AS key, CAST(0 AS BIGINT) AS n FROM customer), new AS (SELECT o_custkey AS key, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey)
+  SELECT key, n FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT key, n FROM new""")
 def upsert_state(spark, d):
-    rows = trace(spark, d)
-    count = lambda df: df.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    return positions.upsert(count(rows.where("position <= 30")), count(rows.where("event_id % 2 = 0")), "hash")
+    before = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit(0).cast("long").alias("n"))
+    after = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return positions.upsert(before, after, "key")
 
 
 # vocabulary
@@ -430,7 +430,7 @@ def run_comparison(spark, d):
     return _rounded(folds.compare(_results(spark, d), ["first-20"]))
 
 
-_DRAWS = """SELECT 'mid' AS unit, 100 AS cap, seed, arch, kind AS split, 'binary' AS view, avg(score) + seed * 0.01::DOUBLE AS mcc, max(score) AS auroc FROM scored, (VALUES (0), (1), (2)) s(seed), (VALUES ('row_random', 0), ('hash_grouped', 1), ('behaviour_grouped', 2)) k(kind, m) WHERE doc_id % 3 >= m GROUP BY seed, arch, kind"""
+_DRAWS = """SELECT 'mid' AS unit, 100 AS cap, seed, arch, kind AS split, 'binary' AS view, avg(score) * (1 - m * 0.125::DOUBLE) + seed * 0.01::DOUBLE AS mcc, max(score) AS auroc FROM scored, (VALUES (0), (1), (2)) s(seed), (VALUES ('row_random', 0), ('hash_grouped', 1), ('behaviour_grouped', 2)) k(kind, m) GROUP BY seed, arch, kind, m"""
 
 
 @query(f"""WITH {SCORED}, r AS ({_DRAWS}) SELECT unit, cap, arch, view, {', '.join(f"round(avg(mcc) FILTER (split = '{k}'), 9) AS mcc_{k}, round(min(mcc) FILTER (split = '{k}'), 9) AS mcc_min_{k}, round(max(mcc) FILTER (split = '{k}'), 9) AS mcc_max_{k}, round(avg(auroc) FILTER (split = '{k}'), 9) AS auroc_{k}" for k in ('row_random', 'hash_grouped', 'behaviour_grouped'))},
@@ -438,8 +438,8 @@ _DRAWS = """SELECT 'mid' AS unit, 100 AS cap, seed, arch, kind AS split, 'binary
   round(avg(mcc) FILTER (split = 'row_random') - avg(mcc) FILTER (split = 'hash_grouped'), 9) AS row_gap, round(avg(mcc) FILTER (split = 'hash_grouped') - avg(mcc) FILTER (split = 'behaviour_grouped'), 9) AS identity_gap FROM r GROUP BY unit, cap, arch, view""")
 def leakage_summary(spark, d):
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(m).alias("m")) for m, k in enumerate(("row_random", "hash_grouped", "behaviour_grouped")))))
-    rows = scored(spark, d).withColumn("k", kinds).where("doc_id % 3 >= k.m").withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    results = rows.groupBy("seed", "arch", F.col("k.kind").alias("split")).agg((F.avg("score") + F.first("seed") * F.lit(0.01)).alias("mcc"), F.max("score").alias("auroc"))
+    rows = scored(spark, d).withColumn("k", kinds).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    results = rows.groupBy("seed", "arch", F.col("k.kind").alias("split")).agg((F.avg("score") * (1 - F.first("k.m") * F.lit(0.125)) + F.first("seed") * F.lit(0.01)).alias("mcc"), F.max("score").alias("auroc"))
     return _rounded(folds.summarize(results.withColumn("unit", F.lit("mid")).withColumn("cap", F.lit(100)).withColumn("view", F.lit("binary"))))
 
 
