@@ -7,7 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import read_settings
+
 PREFIX = "Call_"
+#: Names in a schema at most.
+MOST_NAMES = 100_000
 
 # Variants of a call by canonical name.
 ALIASES = {
@@ -60,6 +64,17 @@ class NameRules:
         return cls({raw: name for name, raws in ALIASES.items() for raw in raws}, frozenset(FRAGMENTS))
 
 
+    @classmethod
+    def load(cls, path: str) -> NameRules:
+        """Rules from a file: ``aliases`` (raw names by canonical name) and ``fragments``; a raw name stands once."""
+        raw = read_settings(path)
+        pairs = [(variant, name) for name, variants in (raw.get("aliases") or {}).items() for variant in variants]
+        twice = sorted({v for v, _ in pairs if sum(v == w for w, _ in pairs) > 1})
+        if twice or set(raw) - {"aliases", "fragments"}:
+            raise ValueError(f"name rules: {twice} stand twice, {sorted(set(raw) - {'aliases', 'fragments'})} are unknown")
+        return cls(dict(pairs), frozenset(raw.get("fragments") or ()))
+
+
 def bare(column: str) -> str:
     return column.removeprefix(PREFIX)
 
@@ -76,8 +91,10 @@ def vocabulary(rules: NameRules, columns: list[str]) -> list[str]:
 def resolution(names: DataFrame, rules: NameRules, column: str = "column") -> DataFrame:
     """column, canonical (or null), rule for each raw name; the vocabulary comes from the names themselves.
 
-    Name tables are schema-sized, so the prefix match is a broadcast loop join.
+    Name tables are as large as schemas, which is checked, so the prefix match is a broadcast loop join.
     """
+    if names.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names are no schema")
     spark = names.sparkSession
     aliases = spark.createDataFrame(list(rules.canonical_of.items()) or [("", "")], "raw string, alias string")
     fragments = spark.createDataFrame([(f,) for f in sorted(rules.fragments)], "fragment string")
@@ -85,7 +102,7 @@ def resolution(names: DataFrame, rules: NameRules, column: str = "column") -> Da
     known = named.join(aliases, F.col("name") == F.col("raw"), "left").join(fragments, F.col("name") == F.col("fragment"), "left")
     words = known.where("fragment is null").select(F.coalesce("alias", "name").alias("word")).distinct()
     cut = known.where("fragment is not null").select("fragment").distinct()
-    folded = cut.join(words, F.expr("startswith(word, fragment)")).groupBy("fragment").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("only"))
+    folded = cut.join(F.broadcast(words), F.expr("startswith(word, fragment)")).groupBy("fragment").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("only"))
     folded = folded.where("n = 1").select(F.col("fragment").alias("cut"), "only")
     out = known.join(folded, F.col("fragment") == F.col("cut"), "left")
     canonical = F.when(F.col("alias").isNotNull(), F.col("alias")).when(F.col("fragment").isNotNull(), F.col("only")).otherwise(F.col("name"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import positions, profiles
 
 
@@ -35,3 +36,23 @@ def report(df: DataFrame, key: str, label: str, order: str, fill_columns: list[s
     fills = fill_check(df, fill_columns).agg(F.collect_list(F.struct("*")).alias("filled_columns")) if fill_columns else df.sparkSession.range(1).select(F.array().alias("filled_columns"))
     parts = [positions.runs(df, key, order), profiles.rows_per_entity(df, key), profiles.unknown_rows(df, label), classes, fills]
     return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+
+
+def scan_file(spark: SparkSession, path: str, key: str, label: str, fill_columns: list[str], sample_groups: int = 3) -> DataFrame:
+    """One nested row of facts on a parquet file, in the order of its rows.
+
+    Footer facts and null columns, keys that stand on both sides of a row group's end, runs, classes and
+    entities over all rows, and fills over the rows of some row groups, spread over the file.
+    """
+    listed = tables.list_parquet(spark, path)
+    facts = tables.footers(listed).collect()
+    if len(facts) != 1:
+        raise ValueError(f"{path} is {len(facts)} parquet files, not one")
+    found = facts[0]
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.row_index").alias("_at"))
+    whole = report(placed, key, label, "_at", [])
+    sampled = fill_check(tables.sampled_rows(rows, found.group_rows, sample_groups), fill_columns).agg(F.collect_list(F.struct("*")).alias("filled_columns")) if fill_columns else whole.select("filled_columns")
+    spans = tables.group_spans(rows, key, found.group_rows)
+    fixed = spark.createDataFrame([(path, found.rows, found.row_groups, found.null_columns, spans)], "path string, rows long, row_groups int, null_columns array<string>, keys_over_group_ends long")
+    return fixed.crossJoin(whole.drop("filled_columns")).crossJoin(sampled)  # one row each

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -49,7 +50,8 @@ def prefix_stores(rows: DataFrame, cfg: PrefixConfig) -> dict[int, DataFrame]:
 
 
 def leakage(rows: DataFrame, store: DataFrame, behaviour: DataFrame, columns: list[str], cfg: SampleConfig, split_cfg: SplitConfig, model_cfg: ModelConfig) -> DataFrame:
-    """Draws split three ways, scored, and summarised over seeds."""
+    """Draws split three ways, scored on window features (a drawn row has no trace length), and summarised over seeds."""
+    model_cfg = replace(model_cfg, features="window")
     by_hash = split.assign(store, SplitConfig(**{**split_cfg.__dict__, "group_by": "hash"}))
     plan = sampling.plan_sample(store, cfg)
     sample = sampling.sample_rows(rows, plan)

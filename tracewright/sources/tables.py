@@ -6,6 +6,7 @@ import re
 from urllib.parse import urlparse
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,14 +123,19 @@ def store_paths(folder: str, stem: str = "strace") -> list[str]:
     return [f"{folder.rstrip('/')}/{d}_{stem}.parquet" for d in DOMAINS]
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def load_store(spark: SparkSession, folder: str, stem: str = "strace") -> DataFrame:
     """The stores of the domains that are there; raises if none is."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    found = []
-    for p in store_paths(folder, stem):
-        path = hadoop.Path(p)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            found.append(p)
+    found = [p for p in store_paths(folder, stem) if _is_there(spark, p)]
     if not found:
         raise FileNotFoundError(f"{folder} has the {stem} store of no domain")
     return spark.read.parquet(*found)
@@ -145,6 +151,39 @@ def save_assignment(assignment: DataFrame, folder: str, domain: str = "arch") ->
     assignment.withColumn("_domain", F.col(domain)).repartition("_domain").sortWithinPartitions(domain, "family", "split", "hash").write.mode("overwrite").partitionBy("_domain").csv(folder, header=True)
 
 
+def load_paper_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Published counts: Architecture, DataType, count."""
+    return _load_csv(spark, path, ["Architecture", "DataType", "count"]).withColumn("count", F.col("count").cast("long"))
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """column, canonical, rule of each raw name, as ``names.resolution`` gives them; a dropped name's canonical is null."""
+    return _load_csv(spark, path, ["column", "canonical", "rule"])
+
+
+def load_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """column, and a 0/1 column for each domain, as ``names.inventory`` gives them."""
+    found = spark.read.csv(path, header=True)
+    return found.select("column", *(F.col(c).cast("int").alias(c) for c in found.columns if c != "column"))
+
+
+def _load_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    found = spark.read.csv(path, header=True)
+    lacking = [c for c in columns if c not in found.columns]
+    if lacking:
+        raise ValueError(f"{path} lacks the columns {', '.join(lacking)}")
+    return found.select(*columns)
+
+
+def save_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").csv(path, header=True)
+
+
+def save_results(results: DataFrame, folder: str, domain: str = "held_out") -> None:
+    """Results as CSV, a folder for each domain."""
+    results.withColumn("_domain", F.col(domain)).repartition("_domain").write.mode("overwrite").partitionBy("_domain").csv(folder, header=True)
+
+
 def save_store(store: DataFrame, path: str) -> None:
     store.write.mode("overwrite").parquet(path)
 
