@@ -11,9 +11,10 @@ from .storage import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of edges (a, b), component being the smallest node reachable.
 
-    Each round joins nothing: a node learns its smallest neighbour by a pre-aggregated minimum and
-    hands it to its larger (then its smaller) neighbours. Rounds grow with the logarithm of the size.
-    Tables of each round lie in the shared folder.
+    In a round every node's smallest neighbour, a pre-aggregated minimum, is joined to its edges and
+    handed to its larger (then its smaller) neighbours. Rounds grow with the logarithm of the size; their
+    tables lie in the shared folder. The edges of a node with many meet by its key, which adaptive joins
+    split.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
