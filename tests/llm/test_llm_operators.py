@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import rows
 from hypothesis import given, settings
@@ -16,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewright.llm import decontaminate, jaccard, licenses, lm, packing, pii, quality, rans, storage, substring, warc
+from tracewright.llm import decontaminate, jaccard, licenses, lm, packing, pii, quality, rans, storage, substring, tokens, warc
 from tracewright.llm.tokens import WordEncoder, encoder
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -49,6 +50,30 @@ def test_cached_encoding_equals_the_library(name):
     check()
 
 
+def test_a_lean_encoder_keeps_only_words_that_come_again():
+    lean, want = WordEncoder("word_bpe_49k.json", lean=True), reference_ids("word_bpe_49k.json")
+    lean.most = 300
+    once, often = [f"w{i}q" for i in range(5000)], ["alpha", "beta,", "gamma"]
+    texts = [" ".join([w, *often]) for w in once] + [None, ""]
+    got = [ids.tolist() for ids in lean.encode_column(pa.array(texts, pa.string()))]
+    assert got == [want(t) for t in texts]
+    assert {"alpha", "beta,", "gamma"} <= lean.cache.keys() | lean.older.keys()
+    assert len(lean.cache) + len(lean.older) < 100  # 5000 others came once
+
+    more = [ids.tolist() for ids in lean.encode_column(pa.array(texts * 2, pa.string()))]
+    assert more == got * 2
+    assert len(lean.cache) <= 300 and len(lean.older) <= 300
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_columns_are_encoded_in_slices_of_any_size(size, monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", size)
+    texts = [None, "", "one two", "a\tb\xa0c", "x" * 100, "", "été 漢字", "last\u3000one", None]
+    want = reference_ids("word_bpe_49k.json")
+    column = pa.array(["skipped", *texts], pa.string()).slice(1)
+    assert [ids.tolist() for ids in WordEncoder("word_bpe_49k.json", lean=True).encode_column(column)] == [want(t) for t in texts]
+
+
 # 1: packing
 
 

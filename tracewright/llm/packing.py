@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .storage import written
 from .tokens import encoder
+from .words import trim
 
 #: Sequences in one task of the second pass at most; all of them stay open.
 TAIL_SEQUENCES = 16_384
@@ -99,7 +100,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
     ddl = _PIECES + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
 
     def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, lean=True)
         for doc, ids in zip(batch.column(0).to_pylist(), encode.encode_column(batch.column(1))):
             ids = np.append(ids, np.uint32(end_id)).astype("<u4")
             for k, start in enumerate(range(0, len(ids), max_tokens)):
@@ -119,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
                         number += 1
             for items in fit.left():  # still open: for the second pass
                 yield from ((*x, None, None) for _, x in items)
+            trim()
 
         return _batches(rows(), schema)
 
