@@ -556,6 +556,30 @@ def test_changed_splits_between_passes(spark, tmp_path):
             spark.conf.unset(f"spark.sql.files.{key}")
 
 
+def test_small_batches_move_no_block(spark, tmp_path, monkeypatch):
+    from tracewright.llm.exchange import numbered
+    from tracewright.llm.storage import as_scan
+
+    spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('w', id % 70, ' '), cast(id % 40 AS int)) AS text").repartition(2).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    def signs(batches):
+        for part, number, block in numbered(batches, 4096):
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([block.sign()])], names=["part", "number", "sign"])
+
+    scan = lambda **k: as_scan(docs, "documents", F.col("doc_id"), F.col("text"), **k)
+    small = [r.n for r in scan(batch_rows=100).mapInArrow(sizes, "n long").collect()]
+    assert max(small) == 100 and sum(small) == 3000
+    found = [sorted(map(tuple, scan(**k).mapInArrow(signs, "part long, number long, sign long").collect())) for k in ({}, {"batch_rows": 100}, {"batch_rows": 1})]
+    assert len(found[0]) > 10 and found[0] == found[1] == found[2]
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 2)
+    test_near_duplicate_families(spark)
+
+
 def test_other_rows_in_a_later_pass_are_noticed(spark, docs):
     from tracewright.llm import exchange
     from tracewright.llm.words import Block

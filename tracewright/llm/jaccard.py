@@ -42,8 +42,10 @@ CENTRES = 2
 BLOCK_ROWS, BLOCK_ENTRIES = 512, 1 << 19
 #: Columns of a block with more rows are multiplied densely, so many at a time.
 DENSE_ROWS, DENSE_COLUMNS = 16, 2048
+#: Texts that go to a Python worker at once.
+BATCH_ROWS = 1024
 #: Entries in one step of a product with centres.
-STEP_ENTRIES = 1 << 21
+STEP_ENTRIES = 1 << 19
 
 
 def ngram_sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def _linked_pairs(live: DataFrame, matrix: DataFrame, percent: int) -> DataFrame
 
 def linked_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    given = as_scan(docs, "documents", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = as_scan(docs, "documents", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), batch_rows=BATCH_ROWS)
 
     def column_keys(part: int, number: int, block: Block) -> tuple[np.ndarray, np.ndarray]:
         entries, bounds = ngram_sets(block, n)

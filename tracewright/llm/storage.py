@@ -116,12 +116,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _SPLITS = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
 
 
-def as_scan(df: DataFrame, name: str, *columns: Column) -> DataFrame:
+def as_scan(df: DataFrame, name: str, *columns: Column, batch_rows: int | None = None) -> DataFrame:
     """The columns of a frame, with the same partitions in every pass, whatever happens to executors or settings.
 
     It is a scan of files in a session of its own, which keeps the settings that decide how files are
     cut, the least number of partitions among them, so that neither a lost executor nor a later change of
     settings moves a row. Anything but a plain table of parquet files is written to the shared folder first.
+    batch_rows: rows that go to a Python worker at once, at most; both sides hold whole batches.
     """
     spark = df.sparkSession
     files, plan = df.inputFiles(), df._jdf.queryExecution().analyzed().toString().strip()
@@ -136,6 +137,9 @@ def as_scan(df: DataFrame, name: str, *columns: Column) -> DataFrame:
     for key in _SPLITS:
         own.conf.set(key, spark.conf.get(key))
     own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    if batch_rows:
+        most = int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(most, batch_rows) if most > 0 else batch_rows))
     return (own.read.schema(df.schema).parquet(*files) if files else own.createDataFrame([], df.schema)).select(*columns)
 
 
