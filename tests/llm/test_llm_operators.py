@@ -3,8 +3,11 @@
 import hashlib
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -580,6 +583,25 @@ def test_small_batches_move_no_block(spark, tmp_path, monkeypatch):
     test_near_duplicate_families(spark)
 
 
+def test_trimmed_workers_hold_little():
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from tracewright.llm.words import trim
+held = lambda: int(re.search(r"Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+pa.array(["a"])
+before = held()
+for _ in range(3):
+    parts = [pa.array(["x" * 3000] * 5000) for _ in range(6)]
+    whole = pa.concat_arrays(parts)
+    del parts, whole
+trim()
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2])
+    assert int(got.stdout) < 40, got
+
+
 def test_other_rows_in_a_later_pass_are_noticed(spark, docs):
     from tracewright.llm import exchange
     from tracewright.llm.words import Block

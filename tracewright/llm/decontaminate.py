@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .words import ALNUM_LOWERED, PIECE, Block, hash_spans, spans, text_buffer
+from .words import ALNUM_LOWERED, PIECE, Block, hash_spans, spans, text_buffer, trim
 
 #: Characters of items in one automaton, about; bounds what a worker holds.
 SHARD_CHARS = 1 << 20
@@ -262,6 +262,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
                     names=[*part.schema.names[:-1], *names],
                 )
                 at = to
+        batch = raw = block = part = None
+        trim()
 
     return given.mapInArrow(run, ddl)
 

@@ -120,6 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int =
                         number += 1
             for items in fit.left():  # still open: for the second pass
                 yield from ((*x, None, None) for _, x in items)
+            batch = None
             trim()
 
         return _batches(rows(), schema)

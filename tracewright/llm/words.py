@@ -27,6 +27,7 @@ def trim() -> None:
     """Gives freed memory back to the system, so that idle workers hold little."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
