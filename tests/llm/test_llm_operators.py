@@ -371,6 +371,40 @@ def test_scores_do_not_depend_on_partitions(spark, docs):
     assert few.keys() == many.keys() and all(few[i] == pytest.approx(many[i], rel=1e-6) for i in few)
 
 
+def test_sums_are_not_sent_by_every_partition(spark, tmp_path, monkeypatch):
+    """Many small partitions are summed in few tasks, large ones in as many as their bytes ask for; scores stay."""
+    n = 2 * spark.sparkContext.defaultParallelism + 7
+    spark.range(900).selectExpr("id AS doc_id", "concat('w', id % 70, ' x', id % 90, ' y', id % 7, ' ', repeat(concat('z', id % 300, ' '), 4)) AS text").repartition(n).write.parquet(str(tmp_path / "d"))
+    docs, seen = spark.read.parquet(str(tmp_path / "d")), []
+    kind = type(docs)
+
+    def recorded(self, func, *args, plain=kind.mapInArrow, **kwargs):
+        seen.append((func.__name__, self.rdd.getNumPartitions()))
+        return plain(self, func, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", recorded)
+
+    def scored():
+        seen.clear()
+        found = {r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score_texts(docs, lm.in_four_fifths).collect()}
+        return found, {c for f, c in seen if f not in ("send", "score")}, {c for f, c in seen if f in ("send", "score")}
+
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 20))
+    try:
+        assert docs.rdd.getNumPartitions() == n == len(docs.inputFiles())
+        few, sums, others = scored()
+        assert sums == {2 * spark.sparkContext.defaultParallelism} and others == {n}
+        monkeypatch.setattr(lm, "TASK_BYTES", 1 << 10)
+        many, sums, _ = scored()
+        assert sums == {n}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert few.keys() == many.keys() == set(range(900))
+    assert all(few[i][:3] == many[i][:3] and few[i][3] == pytest.approx(many[i][3], rel=1e-6) for i in few)
+
+
 def test_class_probabilities_sum_to_one():
     """The groups' probabilities given one history, over all groups."""
     rng = np.random.default_rng(0)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import Answers, exchange, numbered, summaries
-from .storage import as_scan
+from .storage import as_scan, scanned_bytes
 from .words import LOWERED, Block, hash_spans, mixed, spans
 
 #: Choices of a factor, factors, and the groups of tokens that they tell apart.
@@ -55,8 +55,10 @@ _END = np.uint64(0xA5A5F00D5EED0001)
 _ONES = np.ones(FAN, np.float32)
 #: Largest weight of a feature.
 LIMIT = 20.0
-#: Pieces in which sums come to the driver, and partitions whose sums are added first.
+#: Pieces in which sums come to the driver, and tasks whose sums are added first.
 CHUNKS, NEAR = 64, 128
+#: Bytes of input files that a summing task reads at least, once there are two tasks a core.
+TASK_BYTES = 64 << 20
 
 
 class Tokens:
@@ -200,6 +202,12 @@ def _vocabulary(values: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tup
     return np.bincount(groups[known], counts[known], GROUPS), np.bincount(groups[known], minlength=GROUPS)
 
 
+def for_sums(given: DataFrame) -> DataFrame:
+    """The rows of a scan in fewer partitions: a task's sums take up to 19 MB of disk, however little it reads."""
+    context = given.sparkSession.sparkContext
+    return given.coalesce(max(2 * context.defaultParallelism, -(-scanned_bytes(given) // TASK_BYTES)))
+
+
 def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -253,10 +261,10 @@ def score_texts(docs: DataFrame, trains: Callable[[int | None], bool], id_col: s
         return pd.DataFrame({"chunk": [key[0]], "sums": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
     def gathered(start: Model | None) -> list[np.ndarray]:
-        """Sums over all partitions, first within NEAR partitions; their size doesn't grow with the input."""
+        """Sums over all tasks, first within NEAR tasks; their size doesn't grow with the input."""
         shared = spark.sparkContext.broadcast(pickle.dumps(start))
         form = "chunk int, sums binary"
-        sent = given.mapInArrow(lambda batches: summed(batches, pickle.loads(shared.value)), form)
+        sent = for_sums(given).mapInArrow(lambda batches: summed(batches, pickle.loads(shared.value)), form)
         sums = sent.withColumn("near", F.floor(F.spark_partition_id() / NEAR)).groupBy("chunk", "near").applyInPandas(added, form).groupBy("chunk").applyInPandas(added, form)
         pieces = [np.frombuffer(zlib.decompress(r.sums), np.float32) for r in sorted(sums.collect(), key=lambda r: r.chunk)]  # CHUNKS rows
         shared.unpersist()

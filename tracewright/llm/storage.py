@@ -143,5 +143,11 @@ def as_scan(df: DataFrame, name: str, *columns: Column, batch_rows: int | None =
     return (own.read.schema(df.schema).parquet(*files) if files else own.createDataFrame([], df.schema)).select(*columns)
 
 
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a frame reads, by Spark's statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
